@@ -49,3 +49,8 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def blank(c: Column) -> Column:
     """True for null and for text of white space and NUL alone."""
     return F.coalesce(F.btrim(c, F.lit(" \t\r\n\x0b\f\x00 ")) == "", F.lit(True))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
