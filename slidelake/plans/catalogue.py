@@ -5,12 +5,14 @@ from __future__ import annotations
 from slidelake.operators.common_units import units_found
 from slidelake.operators.instants import instants_found
 from slidelake.operators.packed_values import packed_found
+from slidelake.operators.schema_drift import changes_found
 
 FLAGSHIP = "p2_found"
 
 QUERIES = {
     "p1_found": units_found,
     "p2_found": packed_found,
+    "p3_found": changes_found,
     "p5_found": instants_found,
 }
 
