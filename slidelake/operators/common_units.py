@@ -121,7 +121,7 @@ def _observation(df: DataFrame, field: str, record: str, one: Column, two: Colum
     return read.select(
         "record_id", "slide_id", "field", F.col("_1.decimal").alias("n1"), F.col("_1.other").alias("a1"), F.col("_2.decimal").alias("n2"), F.col("_2.other").alias("a2"),
         "p1", "p2", "_u.*", F.col("_h.unit").alias("hint"), F.col("_h.recip").alias("hint_recip"),
-    ).where("n1 is not null or n2 is not null")
+    )
 
 
 def _choices(field: Column) -> Column:
@@ -155,17 +155,21 @@ def _choices(field: Column) -> Column:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every recorded pixel size and view size with its open conversions."""
+    """Every recorded pixel size and view size with its open conversions.
+
+    Rows without any stay in: a filter on what is computed here would make Spark compute it once more for the filter.
+    """
     meta, leica = table(spark, sf_dir, "slide_metadata"), table(spark, sf_dir, "leica_images")
+    digit = lambda *names: F.coalesce(*[F.when(F.col(n).rlike(r"\d"), F.lit(True)) for n in names], F.lit(False))
     none = F.lit(None).cast("string")
-    mpp = _observation(meta, "mpp", "meta_id", F.col("mpp"), None, F.col("mpp_unit"), F.col("scan_note"))
+    mpp = _observation(meta.where(digit("mpp")), "mpp", "meta_id", F.col("mpp"), None, F.col("mpp_unit"), F.col("scan_note"))
     axes = F.split(F.col("pixel_spacing"), _AXES)
     # row spacing (y) comes first; here the first number is x
-    spacing = _observation(meta, "pixel_spacing", "meta_id", F.try_element_at(axes, F.lit(2)), F.try_element_at(axes, F.lit(1)), none, F.col("scan_note"))
+    spacing = _observation(meta.where(digit("pixel_spacing")), "pixel_spacing", "meta_id", F.try_element_at(axes, F.lit(2)), F.try_element_at(axes, F.lit(1)), none, F.col("scan_note"))
     macro = F.coalesce(F.col("image_name").rlike("(?i)macro"), F.lit(False))
     pixels = [F.when(~macro & (F.col(c) > 0), F.col(c).cast("double")) for c in ("pixel_size_x", "pixel_size_y")]
-    view = _observation(leica, "view_size", "image_id", F.col("view_size_x"), F.col("view_size_y"), F.col("view_unit"), none, pixels)
-    obs = mpp.unionByName(spacing).unionByName(view).withColumn("open", _choices(F.col("field"))).where(F.size("open") > 0)
+    view = _observation(leica.where(digit("view_size_x", "view_size_y")), "view_size", "image_id", F.col("view_size_x"), F.col("view_size_y"), F.col("view_unit"), none, pixels)
+    obs = mpp.unionByName(spacing).unionByName(view).withColumn("open", _choices(F.col("field")))
     unnamed = F.array_join(F.transform("open", lambda c: F.concat(c.unit, F.when(c.recip, "^-1").otherwise(""))), "|")
     return obs.withColumn("source", F.concat_ws(":", "field", F.when(F.col("unit").isNotNull(), F.lit("named")).otherwise(F.concat_ws("?", F.lit(""), F.coalesce("spelled", F.lit("")), unnamed))))
 
@@ -204,7 +208,7 @@ def source_graph(linked: DataFrame) -> DataFrame:
 
 def common_units(obs: DataFrame, rounds: int = 2) -> DataFrame:
     """``record_id, field, unit, recip, pm1, pm2`` of every observation; ``rounds`` of spreading through the source graph."""
-    obs = materialise(obs, "units")
+    obs = materialise(obs, "units").where((F.size("open") > 0) & F.expr("n1 is not null or n2 is not null"))
     snapped = None
     matches = lambda unit, recip: F.get(F.filter("open", lambda c: (c.unit == F.col(unit)) & (c.recip == F.col(recip))), F.lit(0))
     only_one = F.when(F.size("open") == 1, F.get("open", F.lit(0)))
