@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidelake.common import table
+from slidelake.common import let, table
 
 SEP = "\x1f"
 MASKED = "\x1e"
@@ -33,15 +33,22 @@ SECTION = r"(\([^()]*\)|[^(]+|\()"
 BLANKS = " \t\r\n\x0b\f\x00 "
 
 
-def _normal_quotes(v: Column) -> Column:
+def _normal_quotes(value: Column) -> Column:
     """The value with quoting in one style: list brackets off, escaped and odd quote characters masked, apostrophes made quotes."""
-    v = F.btrim(F.translate(v, SEP + MASKED, "  "), F.lit(BLANKS))
-    inner = F.replace(F.replace(v.substr(F.lit(2), F.length(v) - 2), F.lit("\\\\"), F.lit("\\")), F.lit('\\"'), F.lit(MASKED))
-    v = F.when(v.rlike(r"^\[[\s\S]*\]$"), F.btrim(inner, F.lit(BLANKS))).otherwise(v)
-    apart = F.regexp_replace(F.translate(v, '"', MASKED), r"(?<![^\s;,|\\])'|'(?![^\s;,|\\])", '"')
-    v = F.when(v.rlike(r"^'[\s\S]*'$"), F.replace(apart, F.lit("\'\'"), F.lit("'"))).otherwise(v)
-    odd = (F.length(v) - F.length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1
-    return F.when(odd, F.regexp_replace(v, r'"(?=[^"]*$)', MASKED)).otherwise(v)
+
+    def bracketed(v: Column) -> Column:
+        inner = F.replace(F.replace(v.substr(F.lit(2), F.length(v) - 2), F.lit("\\\\"), F.lit("\\")), F.lit('\\"'), F.lit(MASKED))
+        return F.when(v.rlike(r"^\[[\s\S]*\]$"), F.btrim(inner, F.lit(BLANKS))).otherwise(v)
+
+    def apostrophes(v: Column) -> Column:
+        apart = F.regexp_replace(F.translate(v, '"', MASKED), r"(?<![^\s;,|\\])'|'(?![^\s;,|\\])", '"')
+        return F.when(v.rlike(r"^'[\s\S]*'$"), F.replace(apart, F.lit("''"), F.lit("'"))).otherwise(v)
+
+    def even(v: Column) -> Column:
+        odd = (F.length(v) - F.length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1
+        return F.when(odd, F.regexp_replace(v, r'"(?=[^"]*$)', MASKED)).otherwise(v)
+
+    return let(let(let(F.btrim(F.translate(value, SEP + MASKED, "  "), F.lit(BLANKS)), bracketed), apostrophes), even)
 
 
 def _outside(piece: Column) -> Column:
@@ -55,31 +62,27 @@ def _outside(piece: Column) -> Column:
 
 def split_packed(value: Column) -> Column:
     """``array<string>``: the items of a packed text in order, without blanks and quotes; empty for null and blank."""
-    pieces = F.split(_normal_quotes(value), '"')
-    last = F.size(pieces) - 1
-
-    def part(p: Column, i: Column) -> Column:
-        inner = (i > 0) & (i < last)
-        return (
-            F.when(i % 2 == 1, p)
-            .when(inner & (p == ""), F.lit('"'))
-            .when(inner & p.rlike(r"^\s+$"), F.lit(SEP))
-            .otherwise(_outside(p))
-        )
-
-    joined = F.aggregate(F.transform(pieces, part), F.lit(""), lambda acc, p: F.concat(acc, p))
+
+    def fold(pieces: Column) -> Column:
+        def part(p: Column, i: Column) -> Column:
+            inner = (i > 0) & (i < F.size(pieces) - 1)
+            blank_between = F.when(p == "", F.lit('"')).when(p.rlike(r"^\s+$"), F.lit(SEP))
+            return F.when(i % 2 == 1, p).when(inner & p.rlike(r"^\s*$"), blank_between).otherwise(_outside(p))
+
+        return F.array_join(F.transform(pieces, part), "")
+
+    joined = let(F.split(_normal_quotes(value), '"'), fold)
     items = F.transform(F.split(joined, SEP), lambda x: F.btrim(F.translate(x, MASKED, '"'), F.lit(BLANKS)))
     return F.coalesce(F.filter(items, lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def explode_packed(df: DataFrame, record_id: str, value: str, field: str, least: int = 1) -> DataFrame:
     """``record_id, field, pos, item`` of every value of column ``value`` that holds at least ``least`` items; ``pos`` from 1."""
-    items = df.select(
-        F.col(f"`{record_id}`").alias("record_id"), F.lit(field).alias("field"), split_packed(F.col(f"`{value}`")).alias("_items")
-    ).where(F.size("_items") >= least)
-    return items.select("record_id", "field", F.posexplode("_items").alias("_p", "item")).select(
-        "record_id", "field", (F.col("_p") + 1).cast("int").alias("pos"), "item"
-    )
+    # enough items or none, in one expression: a filter on the array would make Spark split every value once more
+    items = F.flatten(F.filter(F.array(split_packed(F.col(f"`{value}`"))), lambda a: F.size(a) >= least))
+    return df.select(F.col(f"`{record_id}`").alias("record_id"), F.lit(field).alias("field"), F.posexplode_outer(items).alias("_p", "item")).where(
+        "item is not null"
+    ).select("record_id", "field", (F.col("_p") + 1).cast("int").alias("pos"), "item")
 
 
 def packed_found(spark: SparkSession, sf_dir: str) -> DataFrame:
