@@ -25,6 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from slidelake.common import blank, table
 
@@ -247,8 +248,7 @@ def map_to_catalog(values: DataFrame, catalog: DataFrame) -> DataFrame:
             ids = pa.array([known.find(k, t) for k, t in zip(kinds, texts)], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "catalog_id"])
 
-    schema = rows.schema.add("catalog_id", "int")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("catalog_id", IntegerType())]))
 
 
 def canonical_found(spark: SparkSession, sf_dir: str) -> DataFrame:
