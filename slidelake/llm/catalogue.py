@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from slidelake.llm.canonical import canonical_found
+from slidelake.llm.truncation import truncated_found, truncation_rates
 
 QUERIES = {
     "p4_found": canonical_found,
+    "p8_found": truncated_found,
+    "p8_rates": truncation_rates,
 }
 
 ORACLE: dict[str, str] = {}
