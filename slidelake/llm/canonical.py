@@ -94,8 +94,12 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def _ratio(a: str, b: str) -> float:
-    return 1 - _distance(a, b) / max(len(a), len(b), 1)
+def _ratio(a: str, b: str, least: float = 0.0) -> float:
+    """1 less the share of edits; 0 without counting them where lengths or letters alone leave less than ``least``."""
+    longest = max(len(a), len(b), 1)
+    if least and min(len(a), len(b)) < least * longest or least and sum((Counter(a) & Counter(b)).values()) < least * longest:
+        return 0.0
+    return 1 - _distance(a, b) / longest
 
 
 def _shortened(short: str, long: str) -> bool:
@@ -113,9 +117,9 @@ def word_similarity(a: str, b: str) -> float:
     """1 for equal words, less for spelling and sound alike, 0.85 for abbreviations."""
     if a == b:
         return 1.0
-    alike = _ratio(a, b)
+    alike = _ratio(a, b, WORD)
     if len(a) > 3 and len(b) > 3:
-        alike = max(alike, 0.98 * _ratio(_sound(a), _sound(b)))
+        alike = max(alike, 0.98 * _ratio(_sound(a), _sound(b), WORD))
     if _shortened(a, b) or len(b) >= 3 and _shortened(b, a) and a.startswith(b) or len(b) == 2 and _shortened(b, a):
         alike = max(alike, 0.85)
     return alike
@@ -167,7 +171,8 @@ class Catalogue:
         return self.memo(kind, text)
 
     def _find(self, kind: str, text: str) -> int:
-        found = [(fold, words, *self.mentions(words)) for fold in (False, True) if (words := tokens(text, fold)) or not fold]
+        plain, folded = tokens(text), tokens(text, True)
+        found = [(fold, words, *self.mentions(words)) for fold, words in ((False, plain), (True, folded)) if not fold or folded != plain]
         own = [(n, -number, rest) for _, _, kept, rest in found for n, k, number in kept if k == kind]
         if own:
             _, minus, rest = max(own, key=lambda x: x[:2])
@@ -179,7 +184,7 @@ class Catalogue:
             if gloss:
                 numbers = [w for w in words if w.isdigit()]
                 readings += [tokens(text.replace(gloss[0], " "), fold), [*[w for w in tokens(gloss[1], fold) if not w.isdigit()], *numbers]]
-            best = max([best, *(self.similar(kind, tuple(r), fold) for r in readings if r)])
+            best = max([best, *(self.similar(kind, r, fold) for r in dict.fromkeys(map(tuple, readings)) if r)])
         return best[1]
 
     @staticmethod
@@ -199,7 +204,7 @@ class Catalogue:
             if kind == "model" and sorted(w for w in entry if w.isdigit()) != numbers or not own:
                 continue
             score = self._words(names, own)
-            whole = max(_ratio(joined, "".join(own)), 0.98 * _ratio(_sound(joined), _sound("".join(own))))
+            whole = max(_ratio(joined, "".join(own), ACCEPT), 0.98 * _ratio(_sound(joined), _sound("".join(own)), ACCEPT))
             if len(joined) > 5 and "".join(own).startswith(joined) and len(joined) * 3 > 2 * len("".join(own)):
                 whole = max(whole, 0.85)
             if len(joined) > 4 and whole >= ACCEPT:
