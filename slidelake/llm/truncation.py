@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from slidelake.common import let, materialise, table
 
 LONG = 40
-ENOUGH = 200  # occurrences from which an n-gram tells
-RARELY = 0.005  # least share of its occurrences that an n-gram ends texts with, if texts may end there
-CLOSING = 0.8  # share of last lines among the lines that begin alike, for closing lines
+ENOUGH = 500  # occurrences from which an n-gram tells
+RARELY = 0.008  # least share of its occurrences that an n-gram ends texts with, if texts may end there
+CLOSING, CLOSING_LINES = 0.9, 4  # share of last lines among the lines that begin alike, and least number, for closing lines
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_AROUND, LIMIT_UNFINISHED = 4, 8.0, 50, 0.5
 #: What a cut leaves of an escape sequence, and the marks that a field's software puts at a cut.
 DEBRIS = r"(?:\\u?[0-9a-fA-F]{0,3}|&#?[A-Za-z0-9]{0,7}|=[0-9A-F]?|\x{FFFD}+)$"
@@ -48,6 +48,12 @@ def _line_key(line: Column) -> Column:
     return F.when(t.rlike(r"^[^\p{L}\d]"), F.substring(t, 1, 1)).otherwise(F.regexp_extract(t, r"^\S+(?:\s+\S+)?", 0))
 
 
+def _line_shape(line: Column) -> Column:
+    """The first two words of a line as shapes: letters as w, digits as 0."""
+    t = F.regexp_replace(F.regexp_replace(F.btrim(line), r"\p{L}+", "w"), r"\d+", "0")
+    return F.concat(F.lit("#"), F.regexp_extract(t, r"^\S+(?:\s+\S+)?", 0))
+
+
 def distinct_texts(documents: DataFrame) -> DataFrame:
     """``digest, text`` of every different text that isn't blank."""
     texts = documents.where(F.col("text").rlike(r"\S")).select(F.md5("text").alias("digest"), "text")
@@ -55,7 +61,7 @@ def distinct_texts(documents: DataFrame) -> DataFrame:
 
 
 def prepared(texts: DataFrame) -> DataFrame:
-    """``digest, words, last_line, first_lines, marked``: the words of a text up to what a cut left over."""
+    """``digest, marked, lines, words``: how the lines of a text begin, and its words up to what a cut left over."""
     body = _bare(F.col("text"))
     t = texts.select("digest", body.alias("b"))
     core = let(F.regexp_replace(F.col("b"), MARK, ""), lambda c: F.regexp_replace(_bare(F.regexp_replace(c, DEBRIS, "")), r"\s+$", ""))
@@ -63,7 +69,7 @@ def prepared(texts: DataFrame) -> DataFrame:
     return t.select(
         "digest",
         F.col("b").rlike(MARK).alias("marked"),
-        F.transform(lines, lambda x: _line_key(x)).alias("lines"),
+        F.transform(lines, lambda x: F.array(_line_key(x), _line_shape(x))).alias("lines"),
         _words(core).alias("words"),
     )
 
@@ -71,8 +77,8 @@ def prepared(texts: DataFrame) -> DataFrame:
 def closing_lines(p: DataFrame) -> DataFrame:
     """``line``: beginnings of lines that are nearly always a text's last line."""
     lines = p.where(F.size("lines") > 1).select(F.posexplode(F.slice("lines", 2, 1_000_000_000)).alias("i", "line"), F.size("lines").alias("n"))
-    counts = lines.groupBy("line").agg(F.count("*").alias("all"), F.count_if(F.col("i") + 2 == F.col("n")).alias("last"))
-    return counts.where((F.col("last") >= CLOSING * F.col("all")) & (F.col("last") >= 3)).select("line")
+    counts = lines.select(F.explode("line").alias("line"), "i", "n").groupBy("line").agg(F.count("*").alias("all"), F.count_if(F.col("i") + 2 == F.col("n")).alias("last"))
+    return counts.where((F.col("last") >= CLOSING * F.col("all")) & (F.col("last") >= CLOSING_LINES)).select("line")
 
 
 def _keys(w1: Column, w2: Column) -> Column:
@@ -102,13 +108,17 @@ def _begins(counts: DataFrame, key: Column) -> DataFrame:
 
 
 def unfinished(p: DataFrame) -> DataFrame:
-    """``digest, cut``: whether a text ends where texts go on, by its last trigram."""
+    """``digest, marked, closed, cut``: whether a text ends where texts go on, by its last trigram."""
     counts = materialise(inner_counts(p), "trigrams")
     closing = closing_lines(p)
     w = F.col("words")
     at = lambda back: F.coalesce(F.get(w, F.size(w) - back), F.lit(""))
     ends = p.where(F.size("words") > 0).select("digest", "marked", F.when(F.size("lines") > 1, F.element_at("lines", -1)).alias("line"), _keys(at(3), at(2)).alias("keys"), at(1).alias("f"))
-    ends = ends.join(closing.withColumn("closed", F.lit(True)), "line", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+    closed = F.lit(False)
+    for i in (0, 1):
+        ends = ends.withColumn("_line", F.get("line", F.lit(i))).join(closing.select(F.col("line").alias("_line"), F.lit(True).alias(f"_closed{i}")), "_line", "left").drop("_line")
+        closed = closed | F.coalesce(f"_closed{i}", F.lit(False))
+    ends = ends.withColumn("closed", closed)
     ends = materialise(ends.select("digest", "marked", "closed", "keys", "f"), "ends")
     open_ends = ends.where(~F.col("closed"))
     asked = open_ends.select(F.posexplode("keys").alias("level", "key"), "f").groupBy("level", "key", "f").agg(F.count("*").alias("last"))
@@ -129,7 +139,7 @@ def unfinished(p: DataFrame) -> DataFrame:
     best = per_level.groupBy("digest").agg(F.min_by(rate, F.when(F.col("inner") >= ENOUGH, F.col("level"))).alias("rate"), F.any_value("f").alias("f"))
     decided = best.join(kinds, _kind(F.col("f")) == F.col("kind"), "left")
     rare = F.coalesce("rate", F.when(F.coalesce("kind_rate", F.lit(1.0)) < RARELY, F.lit(0.0)), F.lit(1.0)) < RARELY
-    return ends.select("digest", "marked").join(decided.select("digest", rare.alias("cut")), "digest", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    return ends.select("digest", "marked", "closed").join(decided.select("digest", rare.alias("cut")), "digest", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
 
 
 def field_limits(sized: DataFrame) -> DataFrame:
@@ -154,12 +164,12 @@ def truncated(documents: DataFrame) -> DataFrame:
     ends = materialise(unfinished(p), "unfinished")
     sizes = F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size")))
     docs = documents.select("doc_id", "source", F.when(F.col("text").rlike(r"\S"), F.md5("text")).alias("digest"), sizes.alias("sizes"))
-    known = materialise(docs.join(ends, "digest", "left").select("doc_id", "source", "digest", "marked", "cut", "sizes"), "sized")
+    known = materialise(docs.join(ends, "digest", "left").select("doc_id", "source", "digest", "marked", "closed", "cut", "sizes"), "sized")
     per_text = known.where("digest is not null").dropDuplicates(["source", "digest"]).select("source", "cut", F.inline("sizes"))
     limits = field_limits(per_text).withColumn("at_limit", F.lit(True))
     at = known.where("digest is not null").select("digest", "source", F.inline("sizes")).join(limits, ["source", "unit", "size"]).select("digest", "at_limit").distinct()
     result = known.join(at, "digest", "left")
-    cut = F.coalesce("at_limit", F.lit(False)) | (F.coalesce("cut", F.lit(False)) & ~F.coalesce("marked", F.lit(False)))
+    cut = (F.coalesce("at_limit", F.lit(False)) & ~F.coalesce("closed", F.lit(False))) | (F.coalesce("cut", F.lit(False)) & ~F.coalesce("marked", F.lit(False)))
     return result.select("doc_id", "source", cut.alias("cut"))
 
 
