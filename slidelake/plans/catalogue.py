@@ -6,14 +6,16 @@ from slidelake.operators.common_units import units_found
 from slidelake.operators.instants import instants_found
 from slidelake.operators.packed_values import packed_found
 from slidelake.operators.schema_drift import changes_found
+from slidelake.plans import tile_queries
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "contiguous_runs"
 
 QUERIES = {
     "p1_found": units_found,
     "p2_found": packed_found,
     "p3_found": changes_found,
     "p5_found": instants_found,
+    **tile_queries.registry.queries,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**tile_queries.registry.oracle}
