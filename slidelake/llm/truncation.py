@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from slidelake.common import let, materialise, table
 
 LONG = 40
+TAIL = 48  # characters in which marks and debris of a cut are looked for
 ENOUGH = 500  # occurrences from which an n-gram tells
 RARELY = 0.008  # least share of its occurrences that an n-gram ends texts with, if texts may end there
 CLOSING, CLOSING_LINES = 0.9, 4  # share of last lines among the lines that begin alike, and least number, for closing lines
@@ -64,11 +65,14 @@ def prepared(texts: DataFrame) -> DataFrame:
     """``digest, marked, lines, words``: how the lines of a text begin, and its words up to what a cut left over."""
     body = _bare(F.col("text"))
     t = texts.select("digest", body.alias("b"))
-    core = let(F.regexp_replace(F.col("b"), MARK, ""), lambda c: F.regexp_replace(_bare(F.regexp_replace(c, DEBRIS, "")), r"\s+$", ""))
+    # marks and debris lie in the last characters; the pattern needn't be tried at every other place of a long text
+    end = F.substring("b", -TAIL, TAIL)
+    kept = let(F.regexp_replace(end, MARK, ""), lambda c: _bare(F.regexp_replace(c, DEBRIS, "")))
+    core = F.concat(F.when(F.length("b") > TAIL, F.col("b").substr(F.lit(1), F.length("b") - TAIL)).otherwise(""), kept)
     lines = F.filter(F.split("b", r"[\r\n]+"), lambda x: F.btrim(x) != "")
     return t.select(
         "digest",
-        F.col("b").rlike(MARK).alias("marked"),
+        end.rlike(MARK).alias("marked"),
         F.transform(lines, lambda x: F.array(_line_key(x), _line_shape(x))).alias("lines"),
         _words(core).alias("words"),
     )
