@@ -43,7 +43,7 @@ def _fields(text: Column) -> Column:
 
 
 def ingest(records: DataFrame, text: str, target: dict[str, str] | None = None) -> DataFrame:
-    """``records`` with a typed column per field of ``target``, ``_rescued`` (map of field to JSON text) and ``_unreadable``.
+    """``records`` with a typed column per field of ``target``, ``_rescued`` (map of field to JSON text), ``_readable`` and ``_unreadable``.
 
     A value goes to its column if it casts; every other field, and every value that doesn't cast, is rescued.
     """
@@ -54,7 +54,7 @@ def ingest(records: DataFrame, text: str, target: dict[str, str] | None = None)
     taken = F.array(*[F.when(F.col(f"`_t_{f}`").isNotNull(), F.lit(f)) for f in target]).cast("array<string>")
     rest = F.map_filter("_fields", lambda k, v: ~F.array_contains(F.array_compact(taken), k))
     rescued = F.transform_values(rest, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
-    kept = held.withColumns({"_rescued": rescued, "_unreadable": F.when(F.col("_fields").isNull(), F.col(f"`{text}`"))})
+    kept = held.withColumns({"_rescued": rescued, "_readable": F.col("_fields").isNotNull(), "_unreadable": F.when(F.col("_fields").isNull(), F.col(f"`{text}`"))})
     return kept.drop("_fields").withColumnsRenamed({f"_t_{f}": f for f in target})
 
 
@@ -106,7 +106,7 @@ def file_profiles(ingested: DataFrame) -> DataFrame:
     )
     top = F.max_by(F.struct("kind", "records", "mean", "low", "high", "shapes"), F.struct("records", "kind"))
     merged = per_kind.groupBy("feed_id", "file_seq", "field").agg(top.alias("p"), F.sum("records").alias("n"))
-    sizes = ingested.groupBy("feed_id", "file_seq").agg(F.count("_rescued").alias("readable"))
+    sizes = ingested.groupBy("feed_id", "file_seq").agg(F.count_if("_readable").alias("readable"))
     return merged.join(sizes, ["feed_id", "file_seq"]).select(
         "feed_id", "file_seq", "field", "p.kind", F.col("n").alias("records"), (F.col("n") / F.col("readable")).alias("share"), "p.mean", "p.low", "p.high", "p.shapes"
     )
