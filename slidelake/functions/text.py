@@ -108,18 +108,24 @@ def magnification(objective: Column) -> Column:
     return F.rtrim(F.lower(F.btrim(objective)), F.lit("x")).try_cast("double")
 
 
-def vendor(header: Column, serial: Column) -> Column:
-    """``struct<manufacturer, model>`` of an Aperio-like header."""
-    grundium = header.startswith("Aperio Image Library vFS90 01")
-    model = F.when(F.contains(header, F.lit("GT450 DX")), "GT450 DX").when(F.contains(header, F.lit("GT450")), "GT450")
-    maker = F.when(grundium, "Grundium").when(serial.isNotNull(), "Leica Biosystems").otherwise("Aperio")
+#: Fixed value: how headers of Grundium scanners begin.
+GRUNDIUM = "Aperio Image, Grundium"
+
+
+def vendor(header: Column, serial: Column, scanner_type: Column) -> Column:
+    """``struct<manufacturer, model>`` of an Aperio-like header; without a serial number only what the file states."""
+    grundium = header.startswith(GRUNDIUM)
+    rest = F.nullif(F.btrim(header.substr(F.lit(len(GRUNDIUM) + 1), F.length(header))), F.lit(""))
+    maker = F.when(grundium, "Grundium").when(serial.isNotNull(), "Leica Biosystems")
+    known = F.when(F.contains(header, F.lit("GT450 DX")), "GT450 DX").when(F.contains(header, F.lit("GT450")), "GT450").otherwise("Aperio")
+    model = F.coalesce(scanner_type, F.when(grundium, rest).when(serial.isNotNull(), known))
     return F.struct(maker.alias("manufacturer"), model.alias("model"))
 
 
 def software_list(header: Column) -> Column:
-    """Software names of a header: first line, parted by ``;``, stripped, blanks dropped."""
-    items = F.transform(F.split(line(header, 1), ";"), lambda x: F.btrim(x))
-    return F.filter(items, lambda x: x != "")
+    """Software names of a header: parts between ``;``, the first line of each, stripped, blanks dropped; null for Grundium."""
+    items = F.transform(F.filter(F.split(header, ";"), lambda x: F.btrim(x, F.lit(STRIP)) != ""), lambda x: F.btrim(F.get(F.split(x, r"\R"), F.lit(0)), F.lit(STRIP)))
+    return F.when(~header.startswith(GRUNDIUM), items)
 
 
 def quoted_numbers(value: Column, kind: str = "double") -> Column:
@@ -148,13 +154,24 @@ def zone_minutes(zone: Column) -> Column:
 
 
 def sections(comments: Column) -> Column:
-    """``map<section, map<key, value>>`` of comments whose sections start with a ``;`` record; the first has no name."""
-    lines = F.filter(F.transform(F.split(comments, r"\R"), lambda x: F.btrim(x)), lambda x: x != "")
-    joined = F.array_join(F.transform(lines, lambda x: F.when(x.startswith(";"), F.concat(F.lit("\x1e"), F.ltrim(x, F.lit("; ")), F.lit("\x1f"))).otherwise(F.concat(x, F.lit("\x1f")))), "")
-    parts = F.filter(F.split(F.concat(F.lit("\x1f"), joined), "\x1e"), lambda x: F.replace(x, F.lit("\x1f"), F.lit("")) != "")
+    """``map<section, map<key, value>>`` of comments of ``key=value`` records; a record without ``=`` opens a section.
+
+    Records before any section are under the empty name; a ``;`` before a record is dropped.
+    """
+    lines = F.filter(F.transform(F.split(comments, r"\R"), lambda x: F.btrim(x, F.lit(STRIP))), lambda x: x != "")
+    plain = F.transform(lines, lambda x: F.when(x.startswith(";"), x.substr(F.lit(2), F.length(x))).otherwise(x))
+    marked = F.transform(plain, lambda x: F.when(F.contains(x, F.lit("=")), F.concat(F.lit("\x1f"), x)).otherwise(F.concat(F.lit("\x1e"), x)))
+    parts = F.split(F.array_join(marked, ""), "\x1e")
 
     def section(p: Column) -> Column:
         rows = F.split(p, "\x1f")
-        return F.struct(F.get(rows, F.lit(0)).alias("key"), last_wins(pairs(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "=")).alias("value"))
+        return F.struct(F.btrim(F.get(rows, F.lit(0)), F.lit(STRIP)).alias("key"), last_wins(pairs(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "=")).alias("value"))
+
+    found = F.transform(parts, section)
+    return last_wins(F.filter(found, lambda e: (e.key != "") | (F.cardinality(e.value) > 0)))
+
 
-    return last_wins(F.transform(parts, section))
+def pixelsize(description: Column) -> Column:
+    """``struct<x, y>`` in mm of ``pixelsize=(a,b)`` in micrometres."""
+    g = lambda i: F.regexp_extract(description, r'pixelsize=\("?([0-9.]+)"?,\s*"?([0-9.]+)"?\)', i).try_cast("double") / 1000
+    return F.struct(g(1).alias("x"), g(2).alias("y"))

@@ -6,7 +6,7 @@ from slidelake.operators.common_units import units_found
 from slidelake.operators.instants import instants_found
 from slidelake.operators.packed_values import packed_found
 from slidelake.operators.schema_drift import changes_found
-from slidelake.plans import tile_queries
+from slidelake.plans import text_queries, tile_queries
 
 FLAGSHIP = "contiguous_runs"
 
@@ -16,6 +16,7 @@ QUERIES = {
     "p3_found": changes_found,
     "p5_found": instants_found,
     **tile_queries.registry.queries,
+    **text_queries.registry.queries,
 }
 
-ORACLE: dict[str, str] = {**tile_queries.registry.oracle}
+ORACLE: dict[str, str] = {**tile_queries.registry.oracle, **text_queries.registry.oracle}
