@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
 SOI, EOI, SOS, DQT, DHT, DRI, APP14 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xEE
 #: Coding process by frame header marker; others of the range are "OTHER".
@@ -23,8 +24,12 @@ PROCESSES = {0xC0: "BASELINE", 0xC1: "EXTENDED", 0xC2: "PROGRESSIVE", 0xC3: "LOS
 FRAME_MARKERS = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 STANDALONE = {0x00, 0x01, SOI, EOI, *range(0xD0, 0xD8)}
 ADOBE_RGB = bytes.fromhex("ffee000e41646f6265006480000000") + b"\x00"
-JPEG_SCHEMA = "process string, bit_depth int, components int, subsampling struct<h:int,v:int>, rgb boolean, predictor int, width int, height int"
-J2K_SCHEMA = "reversible boolean, uses_mct boolean, components int, subsampling struct<h:int,v:int>, bit_depth int, extended boolean"
+
+_INT, _BOOL = IntegerType(), BooleanType()
+_PAIR = StructType([StructField("h", _INT), StructField("v", _INT)])
+_struct = lambda **kinds: StructType([StructField(k, v) for k, v in kinds.items()])
+JPEG_SCHEMA = _struct(process=StringType(), bit_depth=_INT, components=_INT, subsampling=_PAIR, rgb=_BOOL, predictor=_INT, width=_INT, height=_INT)
+J2K_SCHEMA = _struct(reversible=_BOOL, uses_mct=_BOOL, components=_INT, subsampling=_PAIR, bit_depth=_INT, extended=_BOOL)
 
 
 @dataclass(frozen=True)
@@ -293,7 +298,7 @@ def jpeg2000_info_udf(frames: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([jpeg2000_info(bytes(f)) or {} if f is not None else {} for f in frames], columns=names, dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def complete_tile_udf(tiles: pd.Series, tables: pd.Series, rgb: pd.Series) -> pd.Series:
     """Abbreviated tiles made whole with their page's tables."""
     return pd.Series([None if t is None else complete_tile(bytes(t), tables_prefix(bytes(x), bool(r))) if x is not None else bytes(t) for t, x, r in zip(tiles, tables, rgb)])

@@ -27,6 +27,7 @@ from slidelake.common import let, materialise, table
 KINDS = {"BOOLEAN": "boolean", "STRING": "string", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
 #: Column type of a promoted field by kind; lists and objects stay JSON text.
 TYPES = {"number": "double", "boolean": "boolean", "string": "string", "array": "string", "object": "string"}
+MAX_FIELDS = 2000  # names of fields that become columns
 ACCEPT = 0.55  # least agreement of a rename
 EXPECTED = 4.0  # joint occurrences expected by chance from which their absence speaks for one property
 
@@ -42,20 +43,28 @@ def _fields(text: Column) -> Column:
     return let(F.try_parse_json(text), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v.try_cast("map<string,variant>")))
 
 
-def ingest(records: DataFrame, text: str, target: dict[str, str] | None = None) -> DataFrame:
+def ingest(records: DataFrame, text: str, target: dict[str, str] | None = None, names: dict[str, list[str]] | None = None) -> DataFrame:
     """``records`` with a typed column per field of ``target``, ``_rescued`` (map of field to JSON text), ``_readable`` and ``_unreadable``.
 
     A value goes to its column if it casts; every other field, and every value that doesn't cast, is rescued.
+    ``names`` lists other names that a target field goes by; the first name with a value that casts counts, the rest is rescued.
     """
-    target = target or {}
+    target, names = target or {}, names or {}
     held = records.withColumn("_fields", _fields(F.col(f"`{text}`")))
-    typed = {f: _cast(F.element_at("_fields", F.lit(f)), kind) for f, kind in target.items()}
+    known = {f: list(dict.fromkeys([f, *names.get(f, [])])) for f in target}
+    typed = {f: F.coalesce(*[_held(n, kind) for n in known[f]]) for f, kind in target.items()}
     held = held.withColumns({f"_t_{f}": c for f, c in typed.items()})
-    taken = F.array(*[F.when(F.col(f"`_t_{f}`").isNotNull(), F.lit(f)) for f in target]).cast("array<string>")
+    taken = F.array(*[F.col(f"`_t_{f}`.n") for f in target]).cast("array<string>")
     rest = F.map_filter("_fields", lambda k, v: ~F.array_contains(F.array_compact(taken), k))
     rescued = F.transform_values(rest, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
     kept = held.withColumns({"_rescued": rescued, "_readable": F.col("_fields").isNotNull(), "_unreadable": F.when(F.col("_fields").isNull(), F.col(f"`{text}`"))})
-    return kept.drop("_fields").withColumnsRenamed({f"_t_{f}": f for f in target})
+    kept = kept.withColumns({f"_t_{f}": F.col(f"`_t_{f}`.v") for f in target})
+    return kept.drop("_fields", *target).withColumnsRenamed({f"_t_{f}": f for f in target})
+
+
+def _held(name: str, kind: str) -> Column:
+    """``struct<v, n>``: value and name of a field that casts to a kind, else null."""
+    return let(_cast(F.element_at("_fields", F.lit(name)), kind), lambda v: F.when(v.isNotNull(), F.struct(v.alias("v"), F.lit(name).alias("n"))))
 
 
 def _cast(value: Column, kind: str) -> Column:
@@ -183,10 +192,55 @@ def schema_changes(profiles: DataFrame, files: DataFrame, accept: float = ACCEPT
     return renamed.unionByName(retyped).unionByName(row(added.join(new, key, "left_anti"), "added")).unionByName(row(removed_only, "removed"))
 
 
+def target_schema(profiles: DataFrame, changes: DataFrame, most: int = MAX_FIELDS) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Approved fields with their kinds, and the other names of each: names joined by renames are one field.
+
+    Works on the vocabulary of field names, of which at most ``most`` are taken (the most frequent); others stay rescued.
+    A field goes by its most frequent name and kind. Names that differ in case alone are one column.
+    """
+    counts = profiles.groupBy("field", "kind").agg(F.sum("records").alias("n")).orderBy(F.desc("n"), "field", "kind").limit(most).collect()
+    pairs = changes.where("change_kind = 'renamed'").select("field", "new_field").distinct().limit(most * 4).collect()
+    leader = {r.field: r.field for r in counts}
+
+    def top(n: str) -> str:
+        while leader[n] != n:
+            n = leader[n]
+        return n
+
+    lower: dict[str, str] = {}
+    joins = [(r.field, r.new_field) for r in pairs] + [(lower.setdefault(n.lower(), n), n) for n in list(leader)]
+    for a, b in joins:
+        if a in leader and b in leader:
+            leader[top(b)] = top(a)
+    groups: dict[str, list] = {}
+    for r in counts:
+        groups.setdefault(top(r.field), []).append(r)
+    fields, names = {}, {}
+    for rows in groups.values():
+        best = max(rows, key=lambda r: (r.n, r.field))
+        fields[best.field], names[best.field] = best.kind, sorted({r.field for r in rows} - {best.field})
+    return fields, names
+
+
+def consistent_table(records: DataFrame, text: str = "properties") -> DataFrame:
+    """Every record in one table: its keys, a typed column per field (renames followed), the rest rescued as JSON."""
+    profiles = materialise(file_profiles(ingest(records, text)), "profiles")
+    fields, names = target_schema(profiles, schema_changes(profiles, records))
+    wide = ingest(records.select("record_id", "slide_id", "feed_id", "file_seq", text), text, fields, names)
+    rescued = F.when(F.cardinality("_rescued") > 0, F.to_json("_rescued"))
+    columns = [F.col(f"`{f}`") for f in sorted(fields)]
+    return wide.select("record_id", "slide_id", "feed_id", "file_seq", *columns, rescued.alias("_rescued"), "_unreadable")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "slide_properties")
 
 
+def records_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All property records in one consistent table."""
+    return consistent_table(_records(spark, sf_dir))
+
+
 def changes_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change between a file of a feed and the one before it."""
     records = _records(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from slidelake.operators.common_units import units_found
 from slidelake.operators.instants import instants_found
 from slidelake.operators.packed_values import packed_found
-from slidelake.operators.schema_drift import changes_found
+from slidelake.operators.schema_drift import changes_found, records_table
 from slidelake.plans import text_queries, tile_queries
 
 FLAGSHIP = "contiguous_runs"
@@ -14,6 +14,7 @@ QUERIES = {
     "p1_found": units_found,
     "p2_found": packed_found,
     "p3_found": changes_found,
+    "p3_table": records_table,
     "p5_found": instants_found,
     **tile_queries.registry.queries,
     **text_queries.registry.queries,
