@@ -6,7 +6,7 @@ from slidelake.operators.common_units import units_found
 from slidelake.operators.instants import instants_found
 from slidelake.operators.packed_values import packed_found
 from slidelake.operators.schema_drift import changes_found, records_table
-from slidelake.plans import text_queries, tile_queries
+from slidelake.plans import codestream_queries, text_queries, tile_queries
 
 FLAGSHIP = "contiguous_runs"
 
@@ -18,6 +18,7 @@ QUERIES = {
     "p5_found": instants_found,
     **tile_queries.registry.queries,
     **text_queries.registry.queries,
+    **codestream_queries.registry.queries,
 }
 
-ORACLE: dict[str, str] = {**tile_queries.registry.oracle, **text_queries.registry.oracle}
+ORACLE: dict[str, str] = {**tile_queries.registry.oracle, **text_queries.registry.oracle, **codestream_queries.registry.oracle}
