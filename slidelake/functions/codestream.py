@@ -284,18 +284,22 @@ def blank_frame(data: bytes, luminance: float) -> bytes:
     return data[: scan.end] + bytes(out) + b"\xff\xd9"
 
 
+def _structs(read, data: pd.Series, schema: StructType) -> pd.DataFrame:
+    """One row per value, None for what isn't known."""
+    found = [read(bytes(d)) or {} if d is not None else {} for d in data]
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in found], dtype=object) for n in schema.names})
+
+
 @F.pandas_udf(JPEG_SCHEMA)
 def jpeg_info_udf(frames: pd.Series) -> pd.DataFrame:
     """Struct of a JPEG frame's header, fields null if it has none."""
-    names = ["process", "bit_depth", "components", "subsampling", "rgb", "predictor", "width", "height"]
-    return pd.DataFrame([jpeg_info(bytes(f)) or {} if f is not None else {} for f in frames], columns=names, dtype=object)
+    return _structs(jpeg_info, frames, JPEG_SCHEMA)
 
 
 @F.pandas_udf(J2K_SCHEMA)
 def jpeg2000_info_udf(frames: pd.Series) -> pd.DataFrame:
     """Struct of a JPEG 2000 codestream's header, fields null if it has none."""
-    names = ["reversible", "uses_mct", "components", "subsampling", "bit_depth", "extended"]
-    return pd.DataFrame([jpeg2000_info(bytes(f)) or {} if f is not None else {} for f in frames], columns=names, dtype=object)
+    return _structs(jpeg2000_info, frames, J2K_SCHEMA)
 
 
 @F.pandas_udf(BinaryType())
