@@ -133,6 +133,7 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
 
 def _with_encoded(df: DataFrame, text: str, name: str, kind, make, vocabulary: str | None, pattern: str) -> DataFrame:
     """``df`` with a column computed from the encoded texts, in Arrow batches; no shuffle."""
+    df = df.drop(name)
     with open(vocabulary or vocabulary_path(), "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     at = df.columns.index(text)

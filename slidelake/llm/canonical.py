@@ -11,7 +11,7 @@ Defined results
 * null and blank values: no row; values that are literally an entry's name: no row in ``canonical_found``;
 * ``catalog_id`` 0: nothing named, a firm or model not listed, another number or generation of a listed series, or a tie;
 * serial numbers, legal forms, words like "scanner", brackets and separators don't count; mis-decoded UTF-8 is repaired;
-* extra columns pass through; repeated rows stay; an empty list matches nothing.
+* extra columns pass through, but for a ``catalog_id``, which is replaced; repeated rows stay; an empty list matches nothing.
 """
 
 from __future__ import annotations
@@ -244,7 +244,7 @@ def load_entries(catalog: DataFrame) -> list[tuple[int, str, str, str | None]]:
 def map_to_catalog(values: DataFrame, catalog: DataFrame) -> DataFrame:
     """``values`` (``field``, ``kind``, ``value`` and any others) with ``catalog_id``, the entry meant or 0; blank values left out."""
     entries = load_entries(catalog)
-    rows = values.where(~blank(F.col("value")))
+    rows = values.drop("catalog_id").where(~blank(F.col("value")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Catalogue(entries)

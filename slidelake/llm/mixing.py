@@ -35,7 +35,7 @@ def plan_budgets(targets: DataFrame, totals: DataFrame, budget: int | None = Non
     held = merged.join(totals, "source", "left").fillna(0, ["available", "records"])
     most = F.floor(F.min(F.when(F.col("available") > 0, F.col("available") * F.col("max_repeats") / F.col("target_share"))).over(Window.partitionBy("plan")))
     with_budget = held.withColumn("budget", F.lit(budget).cast("bigint") if budget is not None else most.cast("bigint"))
-    needed = F.ceil(F.col("budget") * F.col("target_share") / F.col("available"))
+    needed = F.ceil(F.col("budget") * F.col("target_share") / F.nullif("available", F.lit(0)))
     return with_budget.withColumn("passes", F.when(F.col("available") > 0, F.least(needed, F.col("max_repeats").cast("bigint"))).otherwise(F.lit(0)).cast("int"))
 
 
@@ -69,7 +69,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     queued = queue(sized.where("tokens > 0"), budgets, seed)
     used = queued.groupBy("plan", "source").agg(F.sum("tokens").alias("used_tokens"), F.count("*").alias("used_records"), F.max("pass").alias("used_passes"))
     report = budgets.join(used, ["plan", "source"], "left").fillna(0, ["used_tokens", "used_records", "used_passes"])
-    share = F.col("used_tokens") / F.sum("used_tokens").over(Window.partitionBy("plan"))
+    share = F.col("used_tokens") / F.nullif(F.sum("used_tokens").over(Window.partitionBy("plan")), F.lit(0))
     report = report.select(
         "plan", "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), "budget", "used_tokens", "used_records",
         F.col("used_passes").cast("int").alias("used_passes"), F.coalesce(share, F.lit(0.0)).alias("actual_share"),

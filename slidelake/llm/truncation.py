@@ -167,11 +167,13 @@ def truncated(documents: DataFrame) -> DataFrame:
     p = materialise(prepared(distinct_texts(documents)), "texts")
     ends = materialise(unfinished(p), "unfinished")
     sizes = F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size")))
-    docs = documents.select("doc_id", "source", F.when(F.col("text").rlike(r"\S"), F.md5("text")).alias("digest"), sizes.alias("sizes"))
+    # blank texts have keys of their own: one key for all would send them to one task
+    digest = F.when(F.col("text").rlike(r"\S"), F.md5("text")).otherwise(F.concat(F.lit("blank "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    docs = documents.select("doc_id", "source", digest.alias("digest"), sizes.alias("sizes"))
     known = materialise(docs.join(ends, "digest", "left").select("doc_id", "source", "digest", "marked", "closed", "cut", "sizes"), "sized")
-    per_text = known.where("digest is not null").dropDuplicates(["source", "digest"]).select("source", "cut", F.inline("sizes"))
+    per_text = known.where("closed is not null").dropDuplicates(["source", "digest"]).select("source", "cut", F.inline("sizes"))
     limits = field_limits(per_text).withColumn("at_limit", F.lit(True))
-    at = known.where("digest is not null").select("digest", "source", F.inline("sizes")).join(limits, ["source", "unit", "size"]).select("digest", "at_limit").distinct()
+    at = known.where("closed is not null").select("digest", "source", F.inline("sizes")).join(limits, ["source", "unit", "size"]).select("digest", "at_limit").distinct()
     result = known.join(at, "digest", "left")
     cut = (F.coalesce("at_limit", F.lit(False)) & ~F.coalesce("closed", F.lit(False))) | (F.coalesce("cut", F.lit(False)) & ~F.coalesce("marked", F.lit(False)))
     return result.select("doc_id", "source", cut.alias("cut"))
