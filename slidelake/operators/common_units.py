@@ -13,7 +13,7 @@ Only mergeable sketches (``percentile_approx``) are kept per slide and source, s
 of the rows. Links go from each source to the slide's centre, never between all pairs. No table is collected or broadcast by hint.
 
 Defined results
-* null, blank, placeholder, unreadable, zero and negative numbers: no row (per axis);
+* null, blank, placeholder, unreadable, zero and negative numbers, and values past 64 bits of picometres: no row (per axis);
 * decimal comma, decimal point, thousands separators (blank, apostrophe, comma, point) and exponents are read; of two
   readings the plausible one counts, the decimal one if both are;
 * a written, known unit holds even where the value is implausible; both axes of a record have one unit;
@@ -237,4 +237,4 @@ def units_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = values.where((F.col("unit") != common) | F.col("recip"))
     first = F.when(F.col("field") == "mpp", "xy").otherwise("x")
     axes = F.array(F.struct(first.alias("axis"), F.col("pm1").alias("pm")), F.struct(F.lit("y").alias("axis"), F.col("pm2").alias("pm")))
-    return other.select("record_id", "field", F.inline(axes)).where("pm is not null").select("record_id", "field", "axis", F.round("pm").cast("bigint").alias("value_pm"))
+    return other.select("record_id", "field", F.inline(axes)).select("record_id", "field", "axis", F.round("pm").try_cast("bigint").alias("value_pm")).where("value_pm is not null")

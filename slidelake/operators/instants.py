@@ -10,7 +10,7 @@ Defined results (``utc_us`` is null unless the text denotes exactly one instant)
 * without zone: wall-clock time at the row's zone; null where that zone is unknown or the time occurs twice or never;
 * a number alone counts from 1970 in UTC: 10 digits seconds, 13 milli-, 16 micro-, 19 nanoseconds, 14 digits yyyymmddhhmmss;
 * all-numeric slash and dot dates have the order of the row's format; two-digit years are 20yy; digits past µs are cut off;
-* repeated rows keep their number; an empty table gives an empty one.
+* repeated rows keep their number; a column ``utc_us`` of the rows is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -169,6 +169,7 @@ def normalise_instants(rows: DataFrame, raw: str, fmt: str, tz: str, dictionary:
     The dictionary is kept at ``dictionary``, else in a new folder of the shared one.
     """
     text, zone = F.col(f"`{raw}`"), F.coalesce(F.col(f"`{tz}`"), F.lit(""))
+    rows = rows.drop("utc_us")
     keyed = rows.withColumns({"__raw": text, "__order": date_order_of(F.col(f"`{fmt}`"), text), "__tz": zone})
     keys = keyed.where(~blank(text)).select(F.col("__raw").alias("raw"), F.col("__order").alias("date_order"), F.col("__tz").alias("tz"))
     parsed = extend_dictionary(keys, dictionary or fresh_path(rows.sparkSession, "instants"))

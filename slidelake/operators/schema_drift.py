@@ -138,7 +138,7 @@ def _agreement(r: str, a: str) -> Column:
     spread = F.sqrt(c(r, "share") * (1 - c(r, "share")) / c(r, "records") + c(a, "share") * (1 - c(a, "share")) / c(a, "records")) + 0.03
     share = F.exp(-F.pow((c(r, "share") - c(a, "share")) / (2 * spread), 2) / 2)
     rw, aw = _name_words(c(r, "field")), _name_words(c(a, "field"))
-    names = F.size(F.array_intersect(rw, aw)) / F.least(F.size(rw), F.size(aw))
+    names = F.coalesce(F.size(F.array_intersect(rw, aw)) / F.nullif(F.least(F.size(rw), F.size(aw)), F.lit(0)), F.lit(0.0))
     return 0.5 * rates + 0.3 * share + 0.2 * F.least(F.lit(1.0), names)
 
 

@@ -52,7 +52,7 @@ def coalesce_runs(ranges: DataFrame, file: str, offset: str = "offset", size: st
 def pyramid(levels: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """``scale``, ``pyramid_index`` and ``kept``: a level whose scale is no power of two ends its slide's pyramid."""
     order = Window.partitionBy("slide_id").orderBy("level_idx")
-    scale = F.first("image_w").over(order) / F.col("image_w")
+    scale = F.first("image_w").over(order) / F.nullif("image_w", F.lit(0))
     log = F.log2(F.col("scale"))
     scaled = levels.withColumn("scale", scale).withColumn("pyramid_no", F.rint(log).cast("int"))
     off = F.abs(log - F.rint(log)) > F.greatest(F.lit(tolerance), 1e-9 * F.abs(log))
