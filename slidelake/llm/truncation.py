@@ -34,25 +34,29 @@ MARK = r"\s*(?:\[?\s*(?:\.\.\.|…)\s*\]?)$"
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    return F.rtrim(text, F.lit(" \t\r\n\x0b\f"))
 
 
 def _words(text: Column) -> Column:
-    """Lower-case words with their punctuation, digits as 0, from the text's beginning."""
-    clean = F.regexp_replace(F.lower(text), r"\d+", "0")
-    return F.transform(F.filter(F.split(clean, r"\s+"), lambda w: w != ""), lambda w: F.substring(w, 1, LONG))
+    """Lower-case words with their punctuation, digits as 0; ``text`` ends in no white space."""
+    clean = F.regexp_replace(F.regexp_replace(F.ltrim(F.lower(text), F.lit(" \t\r\n\x0b\f")), r"\d+", "0"), rf"(\S{{{LONG}}})\S+", "$1")
+    return F.filter(F.split(clean, r"\s+"), lambda w: w != "")
 
 
-def _line_key(line: Column) -> Column:
-    """What a line begins with: its first character if that is no letter or digit, else two words."""
-    t = F.regexp_replace(F.lower(F.btrim(line)), r"\d+", "0")
-    return F.when(t.rlike(r"^[^\p{L}\d]"), F.substring(t, 1, 1)).otherwise(F.regexp_extract(t, r"^\S+(?:\s+\S+)?", 0))
+def _beginning(line: Column) -> Column:
+    """The first two words of a line."""
+    return F.regexp_extract(line, r"^\s*(\S+(?:\s+\S+)?)", 1)
 
 
-def _line_shape(line: Column) -> Column:
-    """The first two words of a line as shapes: letters as w, digits as 0."""
-    t = F.regexp_replace(F.regexp_replace(F.btrim(line), r"\p{L}+", "w"), r"\d+", "0")
-    return F.concat(F.lit("#"), F.regexp_extract(t, r"^\S+(?:\s+\S+)?", 0))
+def _line_keys(line: Column) -> Column:
+    """What a line begins with: its first character if that is no letter or digit, else two words; and their shapes."""
+
+    def keys(t: Column) -> Column:
+        zeros = F.regexp_replace(F.lower(t), r"\d+", "0")
+        exact = F.when(t.rlike(r"^[^\p{L}\d]"), F.substring(t, 1, 1)).otherwise(zeros)
+        return F.array(exact, F.concat(F.lit("#"), F.regexp_replace(F.regexp_replace(t, r"\p{L}+", "w"), r"\d+", "0")))
+
+    return let(_beginning(line), keys)
 
 
 def distinct_texts(documents: DataFrame) -> DataFrame:
@@ -73,7 +77,7 @@ def prepared(texts: DataFrame) -> DataFrame:
     return t.select(
         "digest",
         end.rlike(MARK).alias("marked"),
-        F.transform(lines, lambda x: F.array(_line_key(x), _line_shape(x))).alias("lines"),
+        F.transform(lines, _line_keys).alias("lines"),
         _words(core).alias("words"),
     )
 
