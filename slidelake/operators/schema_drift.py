@@ -105,9 +105,9 @@ def file_profiles(ingested: DataFrame) -> DataFrame:
     """Per feed, file and field of ``_rescued``: kind, records, share, range and shapes."""
     rows = ingested.select("feed_id", "file_seq", F.posexplode(F.map_entries("_rescued")).alias("_", "e")).select("feed_id", "file_seq", "e.key", "e.value")
     rows = rows.where("value != 'null'")
-    number = F.col("value").try_cast("double")
-    # the kind shows in the first character of JSON text
+    # the kind shows in the first character of JSON text; only numbers are cast, as a failed cast is slow
     first = F.substring("value", 1, 1)
+    number = F.when(first.isin(*"-0123456789"), F.col("value").try_cast("double"))
     kind = F.when(first == '"', "string").when(first == "{", "object").when(first == "[", "array").when(first.isin("t", "f"), "boolean").otherwise("number")
     yes = F.when(F.col("value") == "true", 1.0).when(F.col("value") == "false", 0.0)
     per_kind = rows.groupBy("feed_id", "file_seq", F.col("key").alias("field"), kind.alias("kind")).agg(
