@@ -148,6 +148,7 @@ def rename_candidates(removed: DataFrame, added: DataFrame, profiles: DataFrame)
     scored = pairs.select(
         F.col("a.feed_id").alias("feed_id"), F.col("a.file_seq").alias("file_seq"), F.col("r.field").alias("field"), F.col("a.field").alias("new_field"), _agreement("r", "a").alias("agreement")
     )
+    scored = materialise(scored, "pairs")
     # how often two names of the vocabulary share a file, for the pairs at hand only
     names = scored.select("field", "new_field").distinct()
     present = profiles.select("feed_id", "file_seq", F.col("field").alias("f"))
@@ -178,13 +179,16 @@ def schema_changes(profiles: DataFrame, files: DataFrame, accept: float = ACCEPT
     same = (F.col("feed_id") == F.col("b_feed")) & (F.col("file_seq") == F.col("b_next")) & (F.col("field") == F.col("b_field"))
     met = after.join(before, same, "left")
     retyped = met.where("b_kind is not null and b_kind != kind").select("feed_id", "file_seq", F.lit("retyped").alias("change_kind"), "field", F.lit("").alias("new_field"))
-    added = met.where("b_kind is null").drop("b_feed", "b_next", "b_field", "b_kind")
+    # what follows names these several times; written once, they keep the plan (and the driver's memory) small
+    added = materialise(met.where("b_kind is null").drop("b_feed", "b_next", "b_field", "b_kind"), "added")
     gone = now.where("next_seq is not null").alias("x").join(
         profiles.alias("y"), (F.col("x.feed_id") == F.col("y.feed_id")) & (F.col("x.next_seq") == F.col("y.file_seq")) & (F.col("x.field") == F.col("y.field")), "left_anti"
     )
+    gone = materialise(gone, "removed")
     candidates = rename_candidates(gone, added, profiles).where(F.col("score") >= accept)
     best = lambda c: F.row_number().over(Window.partitionBy("feed_id", "file_seq", c).orderBy(F.desc("score"), "field", "new_field"))
-    renamed = candidates.withColumns({"_r": best("field"), "_a": best("new_field")}).where("_r = 1 and _a = 1").select("feed_id", "file_seq", F.lit("renamed").alias("change_kind"), "field", "new_field")
+    mutual = candidates.withColumns({"_r": best("field"), "_a": best("new_field")}).where("_r = 1 and _a = 1")
+    renamed = materialise(mutual.select("feed_id", "file_seq", F.lit("renamed").alias("change_kind"), "field", "new_field"), "renamed")
     old, new = renamed.select("feed_id", "file_seq", "field"), renamed.select("feed_id", "file_seq", F.col("new_field").alias("field"))
     key = ["feed_id", "file_seq", "field"]
     row = lambda df, kind: df.select(*key[:2], F.lit(kind).alias("change_kind"), "field", F.lit("").alias("new_field"))
