@@ -113,6 +113,21 @@ def stripes_of(jobs: DataFrame, tile: Column, stripe_w: Column, stripe_h: Column
     return jobs.select("*", F.inline(grid(nx, ny)).alias("sx", "sy")).withColumn("stripe_index", (ox + F.col("sx")) + (oy + F.col("sy")) * striped_w)
 
 
+def stripe_runs(jobs: DataFrame, level: str, tile: Column, stripe_w: Column, stripe_h: Column, frame_w: Column, frame_h: Column) -> DataFrame:
+    """The distinct stripes that all jobs of a level need, as runs down each column of stripes: ``sx, first_row, end_row``.
+
+    A job's stripes are a rectangle; only its columns become rows, its rows stay an interval, and intervals that meet or overlap are one run.
+    """
+    ox, oy = trunc_div(F.col("frame_x") * tile, stripe_w), trunc_div(F.col("frame_y") * tile, stripe_h)
+    nx, ny = F.greatest(trunc_div(frame_w, stripe_w), F.lit(1)), F.greatest(trunc_div(frame_h, stripe_h), F.lit(1))
+    columns = jobs.select(level, F.explode(F.sequence(ox, ox + nx - 1)).alias("sx"), oy.alias("from"), (oy + ny).alias("to"))
+    order = Window.partitionBy(level, "sx").orderBy("from", "to")
+    reached = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = columns.withColumn("_new", F.when(F.col("from") <= reached, 0).otherwise(1))
+    runs = starts.withColumn("_run", F.sum("_new").over(order))
+    return runs.groupBy(level, "sx", "_run").agg(F.min("from").alias("first_row"), F.max("to").alias("end_row")).drop("_run")
+
+
 def adjusted_tile_size(requested: Column, stripe: Column) -> Column:
     """Stripe size times the power of two nearest to the ratio of the two sizes; the request itself without stripes."""
     ratio = F.greatest(requested, stripe) / F.least(requested, stripe)

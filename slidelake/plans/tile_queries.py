@@ -358,8 +358,9 @@ def frame_jobs(spark, d):
 def stripe_union(spark, d):
     """Distinct stripes that all jobs of a level need, each read once."""
     jobs = placed(spark, d).select("l_partkey", "fw", "frame_x", "frame_y").distinct()
-    s = t.stripes_of(jobs, F.lit(512), F.lit(2048), F.lit(8), F.col("fw"), F.lit(512), F.lit(25)).select("l_partkey", "stripe_index").distinct()
-    return s.groupBy("l_partkey").agg(F.count("*").alias("stripes"), F.min("stripe_index").alias("first_stripe"), F.max("stripe_index").alias("last_stripe"))
+    runs = t.stripe_runs(jobs, "l_partkey", F.lit(512), F.lit(2048), F.lit(8), F.col("fw"), F.lit(512))
+    first, last = F.col("sx") + F.col("first_row") * 25, F.col("sx") + (F.col("end_row") - 1) * 25
+    return runs.groupBy("l_partkey").agg(F.sum(F.col("end_row") - F.col("first_row")).alias("stripes"), F.min(first).alias("first_stripe"), F.max(last).alias("last_stripe"))
 
 
 @q(
