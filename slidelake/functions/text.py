@@ -15,8 +15,8 @@ DATE_PATTERNS = {
     "huron": ["yyyy:MM:dd HH:mm:ss"],
     "philips": ["yyyyMMddHHmmss.SSSSSS"],
     "argos": ["MM.dd.yyyy HH:mm:ss", "MM.dd.yyyy"],
-    "3dhistech": ["dd/MM/yyyy"],
-    "mikroscan": ["MM/dd/yy"],
+    "3dhistech": ["dd/MM/yyyy HH:mm:ss"],
+    "mikroscan": ["MM/dd/yy HH:mm:ss"],
     "svs": ["MM/dd/yyyy HH:mm:ss", "MM/dd/yy HH:mm:ss"],
 }
 

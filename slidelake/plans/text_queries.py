@@ -108,8 +108,8 @@ def clean_string(spark, d):
       WHEN f = 'philips' AND regexp_full_match(v, '\\d{14}\\.\\d{6}') THEN try_strptime(v, '%Y%m%d%H%M%S.%f')
       WHEN f = 'argos' AND regexp_full_match(v, '\\d\\d\\.\\d\\d\\.\\d{4} \\d\\d:\\d\\d:\\d\\d') THEN try_strptime(v, '%m.%d.%Y %H:%M:%S')
       WHEN f = 'argos' AND regexp_full_match(v, '\\d\\d\\.\\d\\d\\.\\d{4}') THEN try_strptime(v, '%m.%d.%Y')
-      WHEN f = '3dhistech' AND regexp_full_match(v, '\\d\\d/\\d\\d/\\d{4}') THEN try_strptime(v, '%d/%m/%Y')
-      WHEN f = 'mikroscan' AND regexp_full_match(v, '\\d\\d/\\d\\d/\\d\\d') THEN try_strptime(v, '%m/%d/%y')
+      WHEN f = '3dhistech' AND regexp_full_match(v, '\\d\\d/\\d\\d/\\d{4} \\d\\d:\\d\\d:\\d\\d') THEN try_strptime(v, '%d/%m/%Y %H:%M:%S')
+      WHEN f = 'mikroscan' AND regexp_full_match(v, '\\d\\d/\\d\\d/\\d\\d \\d\\d:\\d\\d:\\d\\d') THEN try_strptime(v, '%m/%d/%y %H:%M:%S')
       WHEN f = 'svs' AND regexp_full_match(v, '\\d\\d/\\d\\d/\\d{4} \\d\\d:\\d\\d:\\d\\d') THEN try_strptime(v, '%m/%d/%Y %H:%M:%S')
       WHEN f = 'svs' AND regexp_full_match(v, '\\d\\d/\\d\\d/\\d\\d \\d\\d:\\d\\d:\\d\\d') THEN try_strptime(v, '%m/%d/%y %H:%M:%S') END, '%Y-%m-%d %H:%M:%S.%f') AS taken
     FROM (SELECT meta_id, format AS f, trim(acquisition_datetime, ' ') AS v FROM slide_metadata)""",

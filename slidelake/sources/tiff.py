@@ -62,7 +62,7 @@ class Page:
             "samples": self._one(277, 1), "bits": bits[0], "description": self.text(270), "software": self.text(305), "make": self.text(271), "model": self.text(272),
             "x_resolution": ratio(282), "y_resolution": ratio(283), "resolution_unit": self._one(296, 2),
             "jpeg_tables": jpegtables if isinstance(jpegtables, bytes) else None, "icc_profile": icc if isinstance(icc, bytes) else None,
-            "tags": {t: self.text(t) for t in self.tags if t >= 65000 or t == 700},
+            "tags": {t: self.text(t) for t in self.tags if t >= 65000 or t in (306, 700)},
             "offsets": self._all(324 if tiled else 273), "bytecounts": self._all(325 if tiled else 279),
         }
 
