@@ -233,7 +233,10 @@ def dc_quantiser(data: bytes, table: int = 0) -> int | None:
 
 
 def blank_frame(data: bytes, luminance: float) -> bytes:
-    """A frame with the header of ``data`` and one luminance everywhere: luma DC coefficients only, all others zero."""
+    """A frame with the header of ``data`` and one luminance everywhere: luma DC coefficients only, all others zero.
+
+    ``ValueError`` where the header's own tables lack a code for that; ``jpeg_codec.blank`` makes tables.
+    """
     info, (across, down) = jpeg_info(data), mcu_size(data)
     codes, scan = huffman_codes(data), _first(data, SOS)
     frame = _first(data, *FRAME_MARKERS)
@@ -275,10 +278,13 @@ def blank_frame(data: bytes, luminance: float) -> bytes:
             for block in range(1 if single else (sampling >> 4) * (sampling & 15)):
                 change = value if fresh and k == 0 and block == 0 else 0
                 size = abs(change).bit_length()
-                put(*codes[0, selectors >> 4][size])
-                if size:
-                    put(change if change > 0 else change + (1 << size) - 1, size)
-                put(*codes[1, selectors & 15][0])
+                try:
+                    put(*codes[0, selectors >> 4][size])
+                    if size:
+                        put(change if change > 0 else change + (1 << size) - 1, size)
+                    put(*codes[1, selectors & 15][0])
+                except KeyError:
+                    raise ValueError("the header's tables lack a code") from None
         fresh = False
     flush()
     return data[: scan.end] + bytes(out) + b"\xff\xd9"

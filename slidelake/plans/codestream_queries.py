@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from slidelake.common import table
 from slidelake.functions import codestream as c
+from slidelake.functions import jpeg_codec as codec
 from slidelake.plans.registry import Registry
 
 registry = Registry()
 q = registry.add
 
+_RESULT = StructType([StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("close", BooleanType()), StructField("same_after_crop", BooleanType())])
+
+
+@F.pandas_udf(_RESULT)
+def jpeg_round_trip(tiles: pd.Series) -> pd.DataFrame:
+    """A grey 8 x 8 tile through the codec and back."""
+    rows = []
+    for t in tiles:
+        image = np.array(t, np.uint8).reshape(8, 8)
+        data = codec.encode(image, 100)
+        back = codec.pixels(data)
+        near = int(np.abs(back.astype(int) - image).max()) <= 32
+        rows.append((back.shape[1], back.shape[0], near, bool(np.array_equal(codec.pixels(codec.crop_many(data, [(0, 0, 8, 8)])[0]), back))))
+    return pd.DataFrame(rows, columns=_RESULT.names)
+
 
 def _hex(n, digits: int):
     return F.lpad(F.hex(n.cast("bigint")), digits, "0")
@@ -58,3 +77,11 @@ def jpeg_prefix(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.unhex(F.concat(F.lit("FFD8"), F.repeat(_hex(F.col("p_size"), 2), 3), F.lit("FFD9"))).alias("tables"), F.unhex(F.concat(F.lit("FFD8DD"), _hex(F.col("p_partkey") % 256, 2), F.lit("FFD9"))).alias("tile"))
     prefix = F.substring("tables", 1, 5)
     return p.select("p_partkey", F.hex(F.concat(prefix, F.expr("substring(tile, 3)"))).alias("whole"))
+
+
+@q("jpeg_tiles", "SELECT vec_id, 8 AS width, 8 AS height, true AS close, true AS same_after_crop FROM embeddings")
+def jpeg_tiles(spark, d):
+    """8 x 8 tiles encoded, decoded and cropped: size, nearness to the original, equality of the crop."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.least(F.greatest((v + 0.5) * 255, F.lit(0)), F.lit(255)).cast("int")).alias("tile"))
+    i = e.select("vec_id", jpeg_round_trip("tile").alias("i"))
+    return i.select("vec_id", "i.*")
