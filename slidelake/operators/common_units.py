@@ -1,8 +1,8 @@
 """The same quantity recorded in different units: every value in picometres.
 
 A *source* is a field with one way of naming its unit (or of naming none). Records of the same slide link sources:
-per slide the values of known unit give a robust centre, per source the quartiles of the log ratio to that centre give
-scale and spread (straight and reciprocal), and a tight scale snaps to a known conversion. Sources snapped in one round
+per slide the surest other source gives a robust centre, per source the quantiles of the log ratio to that centre give
+scale and spread (straight and reciprocal), a line through two medians the offset, and a tight scale without offset snaps to a known conversion. Sources snapped in one round
 anchor further slides in the next, so that knowledge spreads through the source graph.
 
 A record's unit is, in this order: the one written with it; the one plausible conversion; of several plausible ones that
@@ -46,7 +46,8 @@ FIELDS = {"mpp": ("µm", 1e5, 3e6), "pixel_spacing": ("mm", 1e5, 3e6), "view_siz
 #: Conversions tried, first choice first: (unit, reciprocal). Reciprocals are pixels per length.
 STRAIGHT = [(u, False) for u in ("µm", "mm", "nm", "m", "cm", "in")]
 RECIPROCAL = [(u, True) for u in ("cm", "in", "mm", "m")]
-MIN_LINKS, SNAP, SPREAD, AGREE = 5, 0.02, 0.05, 0.05  # links a source needs; log10 distance to a conversion, quartile range, distance to a slide
+MIN_LINKS, SNAP, SPREAD, AGREE = 5, 0.02, 0.05, 0.05  # links a source needs; log10 distance to a conversion, range of nine tenths, distance to a slide
+SPLIT, OFFSET = 4e5, 0.05  # picometres that part links into two halves for the offset; greatest offset as a share of the median
 
 _GAP = "[ \u00a0\u2009\u202f']"
 _NUMBER = rf"[+-]?\d{{1,3}}(?:{_GAP}\d{{3}})+(?![\d])(?:[.,]\d+)?|[+-]?\d[\d.,]*(?:[eE][+-]?\d+)?"
@@ -179,57 +180,98 @@ def _pixel(pm: Column, pixels: Column) -> Column:
     return F.when(F.col("field") == "view_size", pm / pixels).otherwise(pm)
 
 
-def _centres(anchored: DataFrame) -> DataFrame:
-    """``slide_id, centre``: the median pixel of a slide's values of known unit."""
+def _hubs(anchored: DataFrame) -> DataFrame:
+    """``slide_id, hubs``: the median pixel of each of a slide's two surest sources (a list of sources, not of rows, is sorted)."""
     chosen = F.col("chosen")
     pixel = F.coalesce(_pixel(chosen.pm1, F.col("p1")), _pixel(chosen.pm2, F.col("p2")))
-    return anchored.where("slide_id is not null").groupBy("slide_id").agg(F.percentile_approx(pixel, 0.5, 100).alias("centre")).where("centre > 0")
+    per_source = anchored.where("slide_id is not null").groupBy("slide_id", "source", "sureness").agg(F.percentile_approx(pixel, 0.5, 100).alias("centre"))
+    hubs = F.slice(F.array_sort(F.collect_list(F.struct("sureness", "source", "centre"))), 1, 2)
+    return per_source.where("centre > 0").groupBy("slide_id").agg(hubs.alias("hubs"))
+
+
+def _centre() -> Column:
+    """The pixel of the surest of a slide's other sources, so that no source confirms itself."""
+    return F.get(F.filter("hubs", lambda h: h.source != F.col("source")), F.lit(0)).centre
 
 
 def source_graph(linked: DataFrame) -> DataFrame:
-    """Per source: links, log10 scale and spread against the slides' centres, and the conversion it snaps to, if any."""
+    """Per source: links, robust scale, offset and spread against the slides' centres, and the conversion it snaps to, if any.
+
+    The scale is the median log ratio, its spread the range of the middle nine tenths (mixed units spread). The offset is where the line through the medians of the
+    links below and above ``SPLIT`` meets zero, as a share of the median number; known conversions have none, so a source with
+    an offset snaps to none. Straight and reciprocal relations are both tried, the tighter one counts.
+    """
     number = F.coalesce(F.col("n1"), F.col("n2"))
-    share = F.when(F.col("field") == "view_size", F.coalesce(F.when(F.col("n1").isNotNull(), F.col("p1")), F.col("p2"))).otherwise(F.lit(1.0))
-    log_n, log_c = F.log10(number / share), F.log10("centre")
-    parts = linked.where(F.col("centre").isNotNull() & share.isNotNull()).groupBy("source").agg(
+    pixels = F.when(F.col("field") == "view_size", F.coalesce(F.when(F.col("n1").isNotNull(), F.col("p1")), F.col("p2"))).otherwise(F.lit(1.0))
+    links = linked.where(F.col("centre").isNotNull() & pixels.isNotNull()).select("source", (number / pixels).alias("n"), F.col("centre").alias("c"))
+    below = F.col("c") < SPLIT
+    half = lambda side, x, name: F.percentile_approx(F.when(side, x), 0.5, 1000).alias(name)
+    parts = links.groupBy("source").agg(
         F.count("*").alias("links"),
-        F.percentile_approx(log_n - log_c, [0.25, 0.5, 0.75], 1000).alias("straight"),
-        F.percentile_approx(F.log10(number) + log_c, [0.25, 0.5, 0.75], 1000).alias("reciprocal"),
-    )
+        F.percentile_approx(F.log10("n") - F.log10("c"), [0.05, 0.5, 0.95], 1000).alias("straight"),
+        F.percentile_approx(F.log10("n") + F.log10("c"), [0.05, 0.5, 0.95], 1000).alias("reciprocal"),
+        F.percentile_approx("n", 0.5, 1000).alias("middle"),
+        half(below, F.col("n"), "n_low"), half(~below, F.col("n"), "n_high"), half(below, F.col("c"), "c_low"), half(~below, F.col("c"), "c_high"),
+    )
     spread = lambda c: c[2] - c[0]
     recip = spread(F.col("reciprocal")) < spread(F.col("straight"))
     tight = F.when(recip, F.col("reciprocal")).otherwise(F.col("straight"))
+    x_low, x_high = (F.when(recip, 1 / F.col(c)).otherwise(F.col(c)) for c in ("c_low", "c_high"))
+    slope = (F.col("n_high") - F.col("n_low")) / F.nullif(x_high - x_low, F.lit(0.0))
+    offset = (F.col("n_low") - slope * x_low) / F.col("middle")
     away = lambda u, r: F.abs(F.lit(math.log10(PM[u]) * (1 if r else -1)) - tight[1])
     options = F.array(*[F.struct(F.when(recip == F.lit(r), away(u, r)).otherwise(F.lit(9.0)).alias("away"), F.lit(u).alias("unit"), F.lit(r).alias("recip")) for u, r in STRAIGHT + RECIPROCAL])
     near = F.array_min(options)
-    sure = (F.col("links") >= MIN_LINKS) & (spread(tight) < SPREAD) & (near.away < SNAP)
-    return parts.select("source", "links", tight[1].alias("log_scale"), spread(tight).alias("spread"), F.when(sure, near.unit).alias("snap_unit"), F.when(sure, near.recip).alias("snap_recip"))
+    measured = parts.select("source", "links", recip.alias("reciprocal"), F.pow(F.lit(10.0), tight[1]).alias("scale"), spread(tight).alias("spread"), offset.alias("offset"), near.alias("near"))
+    sure = (F.col("links") >= MIN_LINKS) & (F.col("spread") < SPREAD) & (F.col("near.away") < SNAP) & (F.coalesce(F.abs("offset"), F.lit(0.0)) < OFFSET)
+    return measured.select("source", "links", "reciprocal", "scale", "offset", "spread", F.when(sure, F.col("near.unit")).alias("snap_unit"), F.when(sure, F.col("near.recip")).alias("snap_recip"))
 
 
-def common_units(obs: DataFrame, rounds: int = 2) -> DataFrame:
-    """``record_id, field, unit, recip, pm1, pm2`` of every observation; ``rounds`` of spreading through the source graph."""
-    obs = materialise(obs, "units").where((F.size("open") > 0) & F.expr("n1 is not null or n2 is not null"))
-    snapped = None
-    matches = lambda unit, recip: F.get(F.filter("open", lambda c: (c.unit == F.col(unit)) & (c.recip == F.col(recip))), F.lit(0))
+def _matching(unit: str, recip: str) -> Column:
+    """The open conversion that two columns name, if it is open."""
+    return F.get(F.filter("open", lambda c: (c.unit == F.col(unit)) & (c.recip == F.col(recip))), F.lit(0))
+
+
+def spread_knowledge(obs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``slide_id, hubs`` and the source graph after ``rounds`` of snapping sources and anchoring slides by them."""
+    graph = None
     only_one = F.when(F.size("open") == 1, F.get("open", F.lit(0)))
     for _ in range(rounds):
-        known = obs if snapped is None else obs.join(snapped, "source", "left")
-        chosen = only_one if snapped is None else F.coalesce(only_one, matches("hint", "hint_recip"), matches("snap_unit", "snap_recip"))
-        centres = _centres(known.withColumn("chosen", chosen).where("chosen is not null"))
-        snapped = source_graph(obs.where(F.size("open") > 1).join(centres, "slide_id")).select("source", "snap_unit", "snap_recip").where("snap_unit is not null")
-    open_rows = obs.where(F.size("open") > 1).join(centres, "slide_id", "left").join(snapped, "source", "left")
+        known = obs if graph is None else obs.join(graph.where("snap_unit is not null").select("source", "snap_unit", "snap_recip"), "source", "left")
+        chosen = only_one if graph is None else F.coalesce(only_one, _matching("hint", "hint_recip"), _matching("snap_unit", "snap_recip"))
+        sureness = F.when(F.col("unit").isNotNull(), 0).when(F.size("open") == 1, 1).otherwise(2)
+        hubs = _hubs(known.withColumns({"chosen": chosen, "sureness": sureness}).where("chosen is not null"))
+        graph = source_graph(obs.where(F.size("open") > 1).join(hubs, "slide_id").withColumn("centre", _centre()))
+    return hubs, graph
+
+
+def _kept_observations(obs: DataFrame) -> DataFrame:
+    return materialise(obs, "units").where((F.size("open") > 0) & F.expr("n1 is not null or n2 is not null"))
+
+
+def common_units(obs: DataFrame, rounds: int = 2) -> DataFrame:
+    """``record_id, field, unit, recip, pm1, pm2`` of every observation; ``rounds`` of spreading through the source graph."""
+    obs = _kept_observations(obs)
+    hubs, graph = spread_knowledge(obs, rounds)
+    snapped = graph.where("snap_unit is not null").select("source", "snap_unit", "snap_recip")
+    open_rows = obs.where(F.size("open") > 1).join(hubs, "slide_id", "left").join(snapped, "source", "left").withColumn("centre", _centre())
 
     def off(c: Column) -> Column:
         pixel = F.coalesce(_pixel(c.pm1, F.col("p1")), _pixel(c.pm2, F.col("p2")))
         return F.abs(F.log10(pixel / F.col("centre")))
 
     agreed = F.array_min(F.filter(F.transform("open", lambda c: F.struct(off(c).alias("off"), c.alias("choice"))), lambda x: x.off < AGREE)).choice
-    snap = matches("snap_unit", "snap_recip")
-    pick = F.coalesce(matches("hint", "hint_recip"), F.when(F.coalesce(F.col("spelled"), F.lit("")) != "", snap), agreed, snap, F.get("open", F.lit(0)))
+    snap = _matching("snap_unit", "snap_recip")
+    pick = F.coalesce(_matching("hint", "hint_recip"), F.when(F.coalesce(F.col("spelled"), F.lit("")) != "", snap), agreed, snap, F.get("open", F.lit(0)))
     picked = open_rows.withColumn("chosen", pick).unionByName(obs.where(F.size("open") == 1).withColumn("chosen", F.get("open", F.lit(0))), allowMissingColumns=True)
     return picked.select("record_id", "field", "chosen.unit", "chosen.recip", "chosen.pm1", "chosen.pm2")
 
 
+def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source graph: every way of naming a unit that leaves several conversions open, and what its links say."""
+    return spread_knowledge(_kept_observations(observations(spark, sf_dir)))[1]
+
+
 def units_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every readable positive value whose number isn't in the common unit of its field, in picometres."""
     values = common_units(observations(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slidelake.operators.common_units import units_found
+from slidelake.operators.common_units import source_report, units_found
 from slidelake.operators.instants import instants_found
 from slidelake.operators.packed_values import packed_found
 from slidelake.operators.schema_drift import changes_found, records_table
@@ -12,6 +12,7 @@ FLAGSHIP = "contiguous_runs"
 
 QUERIES = {
     "p1_found": units_found,
+    "p1_sources": source_report,
     "p2_found": packed_found,
     "p3_found": changes_found,
     "p3_table": records_table,
