@@ -240,16 +240,22 @@ def _table(lengths: dict[int, int]) -> tuple[bytes, dict[int, tuple[int, int]]]:
     return bytes(sum(n == k for n in lengths.values()) for k in range(1, 17)) + bytes(order), codes
 
 
-def write(frame: Frame) -> bytes:
-    """A frame as a file, with tables made for it: one pair for the first component, one for all others."""
+def write(frame: Frame, restart: int = 0) -> bytes:
+    """A frame as a file, with tables made for it: one pair for the first component, one for all others.
+
+    With ``restart`` a marker follows every so many units, from which on differences begin anew.
+    """
     count = len(frame.components)
     factors = [(1, 1)] if count == 1 else [(c.h, c.v) for c in frame.components]
     down, across = frame.components[0].blocks.shape[0] // factors[0][1], frame.components[0].blocks.shape[1] // factors[0][0]
-    previous, stream = [0] * count, []
+    previous, stream, parts = [0] * count, [], []
     counts = [[Counter(), Counter()] for _ in range(min(count, 2))]
     rows = [c.blocks.tolist() for c in frame.components]
     for unit in range(down * across):
         uy, ux = divmod(unit, across)
+        if restart and unit % restart == 0 and unit:
+            parts.append(stream)
+            previous, stream = [0] * count, []
         for k, (h, v) in enumerate(factors):
             pair = min(k, 1)
             for b in range(h * v):
@@ -270,10 +276,15 @@ def write(frame: Frame) -> bytes:
     for n, pair in enumerate(made):
         for kind, (body, _) in enumerate(pair):
             out += struct.pack(">BBHB", 0xFF, 0xC4, 3 + len(body), kind << 4 | n) + body
+    if restart:
+        out += struct.pack(">BBHH", 0xFF, DRI, 4, restart)
     out += struct.pack(">BBHB", 0xFF, SOS, 6 + 2 * count, count) + b"".join(bytes([c.ident, 0x11 * min(k, 1)]) for k, c in enumerate(frame.components)) + b"\x00\x3f\x00"
-    bits = "".join(f"{made[p][k][1][s][0]:0{made[p][k][1][s][1]}b}" + (f"{v:0{n}b}" if n else "") for p, k, s, v, n in stream)
-    bits += "1" * (-len(bits) % 8)
-    return bytes(out) + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
+    body = b""
+    for i, part in enumerate([*parts, stream]):
+        bits = "".join(f"{made[p][k][1][s][0]:0{made[p][k][1][s][1]}b}" + (f"{v:0{n}b}" if n else "") for p, k, s, v, n in part)
+        bits += "1" * (-len(bits) % 8)
+        body += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") + (bytes([0xFF, 0xD0 + i % 8]) if i < len(parts) else b"\xff\xd9")
+    return bytes(out) + body
 
 
 def crop(frame: Frame, x: int, y: int, width: int, height: int, luminance: float = 1.0) -> Frame:
