@@ -47,17 +47,22 @@ def role(fmt: Column, description: Column, position: Column, count: Column, subf
     qptiff = by_type("<ImageType>(.*?)</ImageType>")
     return (
         F.when(fmt.isin("mikroscan", "motic", "svs"), F.coalesce(by_line, F.when(subfile == 0, F.lit("level"))))
-        .when(fmt.isin("philips", "huron"), F.coalesce(by_word, F.when(F.bitwise_not(subfile) == -1, F.lit("level"))))
+        .when(fmt.isin("philips", "huron"), F.coalesce(by_word, F.when(subfile == 0, F.lit("level"))))
         .when(fmt == "ome-tiff", F.when(named("label"), "label").when(named("macro"), "overview").when(named("thumbnail"), "thumbnail").otherwise("level"))
         .when(fmt == "argos", F.when(position == 0, "level").when(position == count - 1, F.when(count >= 3, "overview")).when(position == count - 2, "thumbnail").otherwise("level"))
         .when(fmt == "qptiff", F.when(qptiff == "FullResolution", "level").when(qptiff == "ReducedResolution", "level").when(qptiff == "Label", "label").when(qptiff == "Overview", "overview").when(qptiff == "Thumbnail", "thumbnail"))
         .when(fmt == "ventana", F.when(named("level="), "level").when(named("label image"), "label").when(named("label_image"), "overview").when(named("thumbnail"), "thumbnail"))
         .when(fmt == "trestle", F.when(subfile == 0, "level"))
-        .when(fmt == "ndpi", F.when(F.coalesce(subfile, F.lit(0)) >= 0, "level").when(subfile == -1, "overview"))
         .otherwise(F.when(position == 0, "level"))
     )
 
 
+def ndpi_role(lens: Column) -> Column:
+    """Role of an ndpi page by its source lens: -1 is the macro image, other negative ones (maps) have none."""
+    n = lens.try_cast("double")
+    return F.when(n == -1, "overview").when(n < 0, F.lit(None).cast("string")).otherwise("level")
+
+
 def last_of_role(roles: Column, wanted: str) -> Column:
     """Place of the last image of a role in an array of roles; null if there is none."""
     at = F.array_position(F.reverse(roles), wanted)

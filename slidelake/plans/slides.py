@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slidelake.functions.formats import detect, role
+from slidelake.functions.formats import detect, ndpi_role, role
 from slidelake.functions.metadata import metadata
 from slidelake.operators.tiles import with_tiled_size
 from slidelake.sources.wsi import register
@@ -50,7 +50,8 @@ def images(pages: DataFrame, slide_rows: DataFrame) -> DataFrame:
     own = role(F.col("format"), F.coalesce("description", F.lit("")), F.col("page_idx"), F.col("pages"), F.coalesce("subfile", F.lit(0)))
     # reduced images behind the first page are levels unless their own text says otherwise
     later = F.when(F.col("is_tiled") & F.col("format").isin("svs", "philips", "3dhistech", "huron", "mikroscan", "motic", "leica-scn"), F.coalesce(own, F.lit("level")))
-    return known.withColumn("role", F.coalesce(later, own)).withColumn("strategy", strategy(F.col("format"), F.col("is_tiled"), F.col("compression"), F.size("offsets")))
+    by_lens = F.when(F.col("format") == "ndpi", ndpi_role(F.element_at("tags", F.lit(65421))))
+    return known.withColumn("role", F.when(F.col("format") == "ndpi", by_lens).otherwise(F.coalesce(later, own))).withColumn("strategy", strategy(F.col("format"), F.col("is_tiled"), F.col("compression"), F.size("offsets")))
 
 
 def levels(image_rows: DataFrame, tolerance: float = 0.01) -> DataFrame:

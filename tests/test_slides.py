@@ -84,3 +84,17 @@ def test_files_to_levels(spark, tmp_path):
     assert [r.role for r in found.orderBy("page_idx").collect()] == ["level", "level", "level", "overview", "level", "level"]
     got = [(r.level_idx, r.pyramid_index, r.mpp_x, r.tiled_w, r.tiled_h, r.missing, r.compressed_size) for r in sl.levels(found).orderBy("level_idx").collect()]
     assert got == [(0, 0, 0.5, 4, 2, 1, 70), (1, 1, 1.0, 2, 1, 0, 20), (2, 2, 2.0, 1, 1, 0, 10)]  # 10 wide is no power of two: it and all behind it are left out
+
+
+def test_ndpi_roles_and_last_of_role(spark, tmp_path):
+    from slidelake.functions import formats as f
+
+    def page(lens, w, compression=7):
+        return {256: ("I", [w]), 257: ("I", [8]), 259: ("H", [compression]), 278: ("I", [8]), 65420: ("I", [1]), 65421: ("s", lens)}, [b"x" * 4]
+
+    (tmp_path / "a.ndpi").write_bytes(build([page("20.0", 64), page("10.0", 32), page("-1", 20), page("-2", 10)]))
+    pages = sl.read_pages(spark, str(tmp_path))
+    found = sl.images(pages, sl.slides(pages)).orderBy("page_idx").collect()
+    assert [(r.role, r.strategy) for r in found] == [("level", "one frame re-tiled"), ("level", "one frame re-tiled"), ("overview", "one frame re-tiled"), (None, "one frame re-tiled")]
+    df = spark.createDataFrame([(["level", "label", "level"],), ([],)], "roles array<string>")
+    assert [tuple(r) for r in df.select(f.last_of_role(F.col("roles"), "level").alias("a"), f.last_of_role(F.col("roles"), "label").alias("b")).collect()] == [(2, 1), (None, None)]
