@@ -256,19 +256,22 @@ def map_to_catalog(values: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("catalog_id", IntegerType())]))
 
 
+def _typed(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """``field, kind, value`` of every maker and model as typed, beside ``keys``."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.col(f).alias("value")) for f, k in (("scanner_manufacturer", "manufacturer"), ("scanner_model", "model"))])
+    return table(spark, sf_dir, "slide_metadata").select(*keys, F.inline(pairs))
+
+
 def canonical_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry meant by every maker and model that isn't literally an entry of the list, 0 for none."""
     catalog = table(spark, sf_dir, "scanner_catalog")
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.col(f).alias("value")) for f, k in (("scanner_manufacturer", "manufacturer"), ("scanner_model", "model"))])
-    values = table(spark, sf_dir, "slide_metadata").select("meta_id", F.inline(pairs))
-    literal = F.create_map(*[x for k in ("manufacturer", "model") for x in (F.lit(k), F.array(*[F.lit(n) for _, kind, n, _ in load_entries(catalog) if kind == k]).cast("array<string>"))])
-    typed = values.where(~F.array_contains(F.element_at(literal, F.col("kind")), F.col("value")))
+    literal = catalog.select(F.col("entry_kind").alias("kind"), F.col("entry_name").alias("value")).distinct()
+    typed = _typed(spark, sf_dir, "meta_id").join(literal, ["kind", "value"], "left_anti")
     return map_to_catalog(typed, catalog).select("meta_id", "field", "catalog_id")
 
 
 def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``field, value, records``: every value for which the list has no entry, and how many records hold it."""
     catalog = table(spark, sf_dir, "scanner_catalog")
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.col(f).alias("value")) for f, k in (("scanner_manufacturer", "manufacturer"), ("scanner_model", "model"))])
-    counted = table(spark, sf_dir, "slide_metadata").select(F.inline(pairs)).groupBy("field", "kind", "value").agg(F.count("*").alias("records"))
+    counted = _typed(spark, sf_dir).groupBy("field", "kind", "value").agg(F.count("*").alias("records"))
     return map_to_catalog(counted, catalog).where("catalog_id = 0").select("field", "value", "records")
