@@ -41,11 +41,6 @@ def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra columns of a caller's table cannot clash with working columns."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def blank(c: Column) -> Column:
     """True for null and for text of white space and NUL alone."""
     return F.coalesce(F.btrim(c, F.lit(" \t\r\n\x0b\f\x00 ")) == "", F.lit(True))
