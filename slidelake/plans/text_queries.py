@@ -328,6 +328,17 @@ def normalised_metadata(spark, d):
     return m.where("deliveries = 1").join(_slides(spark, d, "slide_id", "magnification"), "slide_id", "left").select("slide_id", "deliveries", "has_maker", "magnification", "last_model")
 
 
+@q(
+    "normalised_metadata_all",
+    """SELECT m.slide_id, count(*) AS deliveries, bool_or(scanner_manufacturer IS NOT NULL) AS has_maker, min(s.magnification) AS magnification, arg_max(m.scanner_model, (m.delivered_at, m.meta_id)) AS last_model FROM slide_metadata m LEFT JOIN slides s ON m.slide_id = s.slide_id GROUP BY m.slide_id""",
+)
+def normalised_metadata_all(spark, d):
+    """Metadata of every slide that was delivered, however often, beside the slide's own; ``last_model`` is the last one written, of equal times the one with the greater ``meta_id``."""
+    written = F.when(F.col("scanner_model").isNotNull(), F.struct("delivered_at", "meta_id"))
+    m = table(spark, d, "slide_metadata").groupBy("slide_id").agg(F.count("*").alias("deliveries"), F.bool_or(F.col("scanner_manufacturer").isNotNull()).alias("has_maker"), F.max_by("scanner_model", written).alias("last_model"))
+    return m.join(_slides(spark, d, "slide_id", "magnification"), "slide_id", "left").select("slide_id", "deliveries", "has_maker", "magnification", "last_model")
+
+
 @q("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS events, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS k FROM events GROUP BY ALL")
 def event_windows(spark, d):
     """Events per hour and type: the batch form of the discovery stream's windows."""
