@@ -22,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
@@ -233,16 +234,23 @@ def _matching(unit: str, recip: str) -> Column:
 
 
 def spread_knowledge(obs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``slide_id, hubs`` and the source graph after ``rounds`` of snapping sources and anchoring slides by them."""
-    graph = None
+    """``slide_id, hubs`` and the source graph after snapping sources and anchoring slides by them, ``rounds`` at least, then until no further source snaps.
+
+    Each round past ``rounds`` needs a source that never snapped before, so the rounds end. The graph has one row per source.
+    """
+    graph = ever = None
     only_one = F.when(F.size("open") == 1, F.get("open", F.lit(0)))
-    for _ in range(rounds):
+    for done in itertools.count(1):
         known = obs if graph is None else obs.join(graph.where("snap_unit is not null").select("source", "snap_unit", "snap_recip"), "source", "left")
         chosen = only_one if graph is None else F.coalesce(only_one, _matching("hint", "hint_recip"), _matching("snap_unit", "snap_recip"))
         sureness = F.when(F.col("unit").isNotNull(), 0).when(F.size("open") == 1, 1).otherwise(2)
-        hubs = _hubs(known.withColumns({"chosen": chosen, "sureness": sureness}).where("chosen is not null"))
-        graph = source_graph(obs.where(F.size("open") > 1).join(hubs, "slide_id").withColumn("centre", _centre()))
-    return hubs, graph
+        hubs = materialise(_hubs(known.withColumns({"chosen": chosen, "sureness": sureness}).where("chosen is not null")), "hubs")
+        graph = materialise(source_graph(obs.where(F.size("open") > 1).join(hubs, "slide_id").withColumn("centre", _centre())), "graph")
+        snapped = graph.where("snap_unit is not null").select("source")
+        fresh = snapped if ever is None else snapped.join(ever, "source", "left_anti")
+        if done >= rounds and fresh.isEmpty():
+            return hubs, graph
+        ever = snapped if ever is None else ever.unionByName(fresh)
 
 
 def _kept_observations(obs: DataFrame) -> DataFrame:
@@ -250,7 +258,7 @@ def _kept_observations(obs: DataFrame) -> DataFrame:
 
 
 def common_units(obs: DataFrame, rounds: int = 2) -> DataFrame:
-    """``record_id, field, unit, recip, pm1, pm2`` of every observation; ``rounds`` of spreading through the source graph."""
+    """``record_id, field, unit, recip, pm1, pm2`` of every observation; ``rounds`` at least of spreading through the source graph."""
     obs = _kept_observations(obs)
     hubs, graph = spread_knowledge(obs, rounds)
     snapped = graph.where("snap_unit is not null").select("source", "snap_unit", "snap_recip")

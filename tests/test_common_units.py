@@ -68,5 +68,16 @@ def test_unknown_spelling_is_learnt_from_links(found):
     assert {r[3] for r in found(meta)} == {500000}
 
 
+def test_knowledge_spreads_along_a_chain(found):
+    # um - aa - bb - cc - dd, neighbours share slides; all but the first are pixels per mm, which read as nm are plausible too
+    sizes = [1 + i / 10 for i in range(12)]
+    written = {"um": lambda p: f"{p:.2f}"}
+    chain = ["um", "wotsaa", "wotsbb", "wotscc", "wotsdd"]
+    meta = [(100 * k + i, written.get(u, lambda p: f"{1000 / p:.2f}")(p), u, None, None) for k, pair in enumerate(zip(chain, chain[1:])) for u in pair for i, p in enumerate(sizes)]
+    got = {r[0]: r[3] for r in found(meta)}
+    for n, (_, v, u, *_) in enumerate(meta, 1):
+        assert u == "um" or abs(got[n] - 1e9 / float(v)) < 1
+
+
 def test_empty(found):
     assert found([]) == []
