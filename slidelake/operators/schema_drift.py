@@ -18,7 +18,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slidelake.common import let, materialise, table
@@ -199,11 +199,15 @@ def schema_changes(profiles: DataFrame, files: DataFrame, accept: float = ACCEPT
 def target_schema(profiles: DataFrame, changes: DataFrame, most: int = MAX_FIELDS) -> tuple[dict[str, str], dict[str, list[str]]]:
     """Approved fields with their kinds, and the other names of each: names joined by renames are one field.
 
-    Works on the vocabulary of field names, of which at most ``most`` are taken (the most frequent); others stay rescued.
+    Works on the vocabulary of field names; refuses one of more than ``most`` names. All renames between them are followed.
     A field goes by its most frequent name and kind. Names that differ in case alone are one column.
     """
-    counts = profiles.groupBy("field", "kind").agg(F.sum("records").alias("n")).orderBy(F.desc("n"), "field", "kind").limit(most).collect()
-    pairs = changes.where("change_kind = 'renamed'").select("field", "new_field").distinct().limit(most * 4).collect()
+    per_kind = profiles.groupBy("field", "kind").agg(F.sum("records").alias("n"))
+    vocabulary = per_kind.groupBy("field").agg(F.collect_list(F.struct("kind", "n")).alias("kinds")).limit(most + 1).collect()
+    if len(vocabulary) > most:
+        raise ValueError(f"the records have more than {most} field names")
+    counts = sorted((Row(field=v.field, kind=k.kind, n=k.n) for v in vocabulary for k in v.kinds), key=lambda r: (-r.n, r.field, r.kind))
+    pairs = changes.where("change_kind = 'renamed'").select("field", "new_field").distinct().collect()
     leader = {r.field: r.field for r in counts}
 
     def top(n: str) -> str:
@@ -214,8 +218,7 @@ def target_schema(profiles: DataFrame, changes: DataFrame, most: int = MAX_FIELD
     lower: dict[str, str] = {}
     joins = [(r.field, r.new_field) for r in pairs] + [(lower.setdefault(n.lower(), n), n) for n in list(leader)]
     for a, b in joins:
-        if a in leader and b in leader:
-            leader[top(b)] = top(a)
+        leader[top(b)] = top(a)
     groups: dict[str, list] = {}
     for r in counts:
         groups.setdefault(top(r.field), []).append(r)

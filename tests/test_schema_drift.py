@@ -1,6 +1,8 @@
 import json
 import random
 
+import pytest
+
 from slidelake.operators import schema_drift as sd
 
 RECORDS = "record_id bigint, slide_id bigint, feed_id bigint, file_seq int, properties string, field string"
@@ -59,3 +61,12 @@ def test_consistent_table(spark):
     t = sd.consistent_table(build(spark, {(1, 1): old, (1, 2): [*new, {"score_value": "none"}]}))
     assert "score_value" in t.columns and "Score" not in t.columns
     assert t.where("score_value is not null").count() == 60 and t.where("_rescued is not null").collect()[0]["_rescued"] == '{"score_value":"\\"none\\""}'
+
+
+def test_bound_counts_names_and_is_no_cut(spark):
+    df = build(spark, {(1, 1): [{"a": 1, "b": 1}, {"a": 2}, {"a": 3}], (1, 2): [{"a": "x"}, {"a": "y"}]})
+    profiles = sd.file_profiles(sd.ingest(df, "properties"))
+    renamed = sd.schema_changes(profiles, df)
+    assert sd.target_schema(profiles, renamed, most=2)[0] == {"a": "number", "b": "number"}  # a's kinds don't use up the bound
+    with pytest.raises(ValueError, match="more than 1 field names"):
+        sd.target_schema(profiles, renamed, most=1)
