@@ -318,6 +318,18 @@ def role_lookup(spark, d):
     return s.join(lv, ["slide_id", "level_idx"]).join(o, "slide_id", "left").select("slide_id", "level_idx", "image_w", "overview")
 
 
+@q(
+    "role_lookup_all",
+    """SELECT s.slide_id, l.level_idx, CAST(l.image_w AS BIGINT) AS image_w, i.image_name AS overview FROM slides s JOIN (SELECT DISTINCT slide_id, level_idx, image_w FROM levels) l ON s.slide_id = l.slide_id
+      LEFT JOIN (SELECT slide_id, min(image_name) AS image_name FROM leica_images WHERE image_idx = 0 GROUP BY slide_id) i ON s.slide_id = i.slide_id""",
+)
+def role_lookup_all(spark, d):
+    """Every level of each slide, with the overview where there is one."""
+    lv = table(spark, d, "levels").select("slide_id", "level_idx", F.col("image_w").cast("bigint").alias("image_w")).distinct()
+    o = table(spark, d, "leica_images").where("image_idx = 0").groupBy("slide_id").agg(F.min("image_name").alias("overview"))
+    return _slides(spark, d, "slide_id").join(lv, "slide_id").join(o, "slide_id", "left").select("slide_id", "level_idx", "image_w", "overview")
+
+
 @q(
     "normalised_metadata",
     """SELECT m.slide_id, count(*) AS deliveries, bool_or(scanner_manufacturer IS NOT NULL) AS has_maker, min(s.magnification) AS magnification, arg_max(m.scanner_model, m.delivered_at) AS last_model FROM slide_metadata m LEFT JOIN slides s ON m.slide_id = s.slide_id GROUP BY m.slide_id HAVING count(*) = 1""",

@@ -22,3 +22,12 @@ def test_metadata_of_slides_delivered_more_than_once(spark, tmp_path):
     write(spark, tmp_path, "slides", [(i, 20.0) for i in (1, 2, 3, 4)], "slide_id bigint, magnification double")
     got = catalogue.QUERIES["normalised_metadata_all"](spark, str(tmp_path)).orderBy("slide_id").collect()
     assert [tuple(r) for r in got] == [(1, 1, True, 20.0, "AT2"), (2, 2, True, 20.0, "new"), (3, 2, False, 20.0, "greater id"), (4, 2, False, 20.0, "known"), (5, 1, False, None, None)]
+
+
+def test_every_level_is_looked_up(spark, tmp_path):
+    write(spark, tmp_path, "slides", [(1,), (2,)], "slide_id bigint")
+    levels = [(1, i, 1000 >> i) for i in range(6)]
+    write(spark, tmp_path, "levels", [*levels, levels[0], (2, 0, 7)], "slide_id bigint, level_idx int, image_w int")
+    write(spark, tmp_path, "leica_images", [(1, 0, "macro"), (1, 1, "image")], "slide_id bigint, image_idx int, image_name string")
+    got = catalogue.QUERIES["role_lookup_all"](spark, str(tmp_path)).orderBy("slide_id", "level_idx").collect()
+    assert [tuple(r) for r in got] == [*[(*r, "macro") for r in levels], (2, 0, 7, None)]
