@@ -142,6 +142,17 @@ def decimal_comma(spark, d):
     return m.select("meta_id", x.mpp_of_header(F.col("mpp"), F.coalesce("scan_note", F.lit(""))).alias("mpp"))
 
 
+@q(
+    "decimal_comma_all",
+    """SELECT meta_id, coalesce(CASE WHEN regexp_full_match(mpp, '[ 0-9.,]+') THEN TRY_CAST(replace(trim(mpp, ' '), ',', '.') AS DOUBLE) END, TRY_CAST(replace(nullif(regexp_extract(coalesce(scan_note, ''), 'Scan resolution\\s+([0-9.,]+)', 1), ''), ',', '.') AS DOUBLE)) AS mpp
+    FROM slide_metadata""",
+)
+def decimal_comma_all(spark, d):
+    """Pixel size of every row with decimal point or comma, else from the header; null if neither is digits and separators alone."""
+    number = F.when(F.col("mpp").rlike(r"^[ 0-9.,]+$"), F.col("mpp"))
+    return table(spark, d, "slide_metadata").select("meta_id", x.mpp_of_header(number, F.coalesce("scan_note", F.lit(""))).alias("mpp"))
+
+
 @q(
     "version_split",
     """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' beta' END AS name, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) || '.1b' END AS version FROM part""",
@@ -280,6 +291,18 @@ def view_mpp(spark, d):
     return i.select("image_id", (F.col("view_size_x").try_cast("bigint") / F.nullif("pixel_size_x", F.lit(0)) / 1000).alias("mpp_x"), macro.alias("is_macro"))
 
 
+@q(
+    "view_mpp_all",
+    """SELECT image_id, CASE WHEN regexp_full_match(view_size_x, '\\d+') AND view_unit IS NULL THEN TRY_CAST(view_size_x AS BIGINT) / nullif(pixel_size_x, 0) / 1000 END AS mpp_x, image_idx = 0 AND view_offset_x = 0 AND view_offset_y = 0 AS is_macro FROM leica_images""",
+)
+def view_mpp_all(spark, d):
+    """``view_mpp`` of every image; the size is null where the view is no plain number of nm (``p1_found`` reads other units)."""
+    plain = F.col("view_size_x").rlike(r"^\d+$") & F.col("view_unit").isNull()
+    macro = (F.col("image_idx") == 0) & (F.col("view_offset_x") == 0) & (F.col("view_offset_y") == 0)
+    size = F.when(plain, F.col("view_size_x")).try_cast("bigint")
+    return table(spark, d, "leica_images").select("image_id", (size / F.nullif("pixel_size_x", F.lit(0)) / 1000).alias("mpp_x"), macro.alias("is_macro"))
+
+
 @q(
     "resolution_mpp",
     """SELECT slide_id, CASE WHEN format = 'trestle' THEN r WHEN u = 3 THEN 10000.0::DOUBLE / nullif(r, 0) WHEN u = 2 AND format <> 'ndpi' THEN 25400.0::DOUBLE / nullif(r, 0) END AS mpp

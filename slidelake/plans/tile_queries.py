@@ -65,6 +65,17 @@ def compressed_size(spark, d):
     return df.groupBy("slide_id").agg(F.sum(F.col("compressed_size") + F.col("frame_count") * header).alias("total_bytes"), F.sum("frame_count").alias("frames"))
 
 
+@q(
+    "compressed_size_all",
+    f"""SELECT slide_id, CAST(sum(compressed_size + frame_count * CASE WHEN compression = 'JPEG' THEN 289 ELSE 0 END) AS BIGINT) AS total_bytes, CAST(sum(frame_count) AS BIGINT) AS frames
+    FROM {LEVELS} GROUP BY slide_id""",
+)
+def compressed_size_all(spark, d):
+    """``compressed_size`` with the frames of all levels; levels of unknown size add no bytes, a slide of such levels alone has null."""
+    header = F.when(F.col("compression") == "JPEG", 289).otherwise(0)
+    return levels(spark, d).groupBy("slide_id").agg(F.sum(F.col("compressed_size") + F.col("frame_count") * header).alias("total_bytes"), F.sum("frame_count").alias("frames"))
+
+
 @q(
     "tiled_size",
     """SELECT slide_id, level_idx, tiled_w, tiled_h, tiled_w * tiled_h AS tiles, tiled_w * tiled_h = frame_count AS complete FROM (

@@ -31,3 +31,15 @@ def test_every_level_is_looked_up(spark, tmp_path):
     write(spark, tmp_path, "leica_images", [(1, 0, "macro"), (1, 1, "image")], "slide_id bigint, image_idx int, image_name string")
     got = catalogue.QUERIES["role_lookup_all"](spark, str(tmp_path)).orderBy("slide_id", "level_idx").collect()
     assert [tuple(r) for r in got] == [*[(*r, "macro") for r in levels], (2, 0, 7, None)]
+
+
+def test_rows_that_cannot_be_read_stay(spark, tmp_path):
+    write(spark, tmp_path, "slide_metadata", [(1, "0,25", None), (2, None, "Scan resolution 0,5 um"), (3, "n/a", None), (4, " ", "Scan resolution 0.5")], "meta_id bigint, mpp string, scan_note string")
+    write(spark, tmp_path, "leica_images", [(1, "5000", None, 10, 0), (2, "5", "mm", 10, 1), (3, None, None, 10, 0)], "image_id bigint, view_size_x string, view_unit string, pixel_size_x int, image_idx int")
+    images = spark.read.parquet(f"{tmp_path}/leica_images.parquet").selectExpr("*", "0L AS view_offset_x", "0L AS view_offset_y")
+    images.write.parquet(f"{tmp_path}/more/leica_images.parquet")
+    write(spark, tmp_path, "levels", [(1, 0, 100, 2, "JPEG"), (1, 1, None, 3, "JPEG"), (2, 0, None, 4, None)], "slide_id bigint, level_idx int, compressed_size bigint, frame_count bigint, compression string")
+    run = lambda name, folder=tmp_path: sorted(tuple(r) for r in catalogue.QUERIES[name](spark, str(folder)).collect())
+    assert run("decimal_comma_all") == [(1, 0.25), (2, 0.5), (3, None), (4, 0.5)]
+    assert run("view_mpp_all", tmp_path / "more") == [(1, 0.5, True), (2, None, False), (3, None, True)]
+    assert run("compressed_size_all") == [(1, 678, 5), (2, None, 4)]
