@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a single machine) a local folder is set.
+    Without that setting a session that runs on this machine alone uses a local folder; on a cluster it is an error, as no folder is known to be shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    import tempfile
-
-    return f"{tempfile.gettempdir()}/slidelake-shared"
+    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/slidelake-{os.getpid()}"
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -49,3 +51,12 @@ def blank(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, salts: int = 16) -> DataFrame:
+    """Left join in which each key of ``big`` is spread over ``salts`` tasks by the hash of its column ``salt``.
+
+    ``small`` has a row per key and is repeated for every salt, so a key that a third of ``big`` holds is no single task.
+    """
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    return spread.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"], "left").drop("_salt")
