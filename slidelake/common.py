@@ -53,10 +53,10 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, salts: int = 16) -> DataFrame:
-    """Left join in which each key of ``big`` is spread over ``salts`` tasks by the hash of its column ``salt``.
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: str | None = None, salts: int = 16) -> DataFrame:
+    """Left join in which each key of ``big`` is spread over ``salts`` tasks by the hash of its column ``salt``, or of where the row lies.
 
     ``small`` has a row per key and is repeated for every salt, so a key that a third of ``big`` holds is no single task.
     """
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(salt if salt else F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     return spread.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"], "left").drop("_salt")
