@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from slidelake.llm import canonical as cn
@@ -34,7 +37,45 @@ def test_find(kind, text, expected):
 
 def test_longest_mentions_do_not_overlap():
     kept, rest = cn.Catalogue(ENTRIES).mentions(cn.tokens("Orvanta Imaging: OV-Scan 240 FL beside Skjold 40"))
-    assert sorted(k[2] for k in kept) == [1, 102, 103] and rest == ["beside"]
+    assert sorted(number for _, meant in kept for _, number in meant) == [1, 102, 103] and rest == ["beside"]
+
+
+def test_ties_give_nothing():
+    """Two equally long mentions of different entries; one alias of two entries; a name that is one of each kind."""
+    known = cn.Catalogue([(1, "manufacturer", "Abcdef", "Shared Works"), (2, "manufacturer", "Ghijkl", "Shared Works"), (3, "model", "Abcdef", None)])
+    assert [known.find("manufacturer", t) for t in ("Abcdef / Ghijkl", "shared works", "ABCDEF", "Abcdef Ltd / Abcdef")] == [0, 0, 1, 1]
+    assert known.find("model", "abcdef") == 3 and known.find("model", "Ghijkl") == 0
+
+
+def test_index_against_brute_force():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9))) for _ in range(400)]
+    index = cn.Words(words)
+    for least in (0.6, 0.75):
+        for asked in [*words[:40], "edcba" * 3, "z"]:
+            assert index.near(asked, least) == pytest.approx({w: cn._ratio(asked, w) for w in words if cn._ratio(asked, w) >= least})
+
+
+def test_large_list_is_searched_by_index():
+    rnd = random.Random(1)
+    parts = [a + b + c for a in "bdfgklmnprstv" for b in "aeiou" for c in ("", "n", "r", "l", "s")]
+    name = lambda: "".join(rnd.choice(parts) for _ in range(rnd.randint(2, 4))).title()
+    entries = [(i, "manufacturer" if i % 2 else "model", f"{name()} {name()}" + ("" if i % 2 else f" {rnd.randint(1, 99)}"), None) for i in range(1, 5001)]
+    known = cn.Catalogue(entries)
+    asked = rnd.sample(entries, 100)
+    began = time.perf_counter()
+    found = [known.find(kind, text[:2] + "z" + text[3:]) for _, kind, text, _ in asked]
+    assert (time.perf_counter() - began) / len(asked) < 0.05
+    assert sum(f == e[0] for f, e in zip(found, asked)) > 90
+
+
+def test_words_that_say_nothing_are_learnt(spark):
+    catalog = spark.createDataFrame(ENTRIES, "catalog_id int, entry_kind string, entry_name string, former_names string")
+    makers = ["Orvanta Imaging", "Kesselbrück Optik", "Halvånd Mikro", "Delphanor"]
+    rows = [("manufacturer", f"{m} Klinikgeräte") for m in makers] + [("manufacturer", "Delfanor Klinikgeräte"), ("manufacturer", "Delfanor Zubehör")]
+    values = spark.createDataFrame(rows, "kind string, value string")
+    out = {r.value: r.catalog_id for r in cn.map_to_catalog(values, catalog).collect()}
+    assert out["Delfanor Klinikgeräte"] == 4 and out["Delfanor Zubehör"] == 0
 
 
 def test_distance_against_brute_force():
