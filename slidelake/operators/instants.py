@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidelake.common import blank, fresh_path, table
+from slidelake.common import blank, materialise, salted_join, shared_dir, table
 
 #: Order of an all-numeric date in the formats that write one (slashes, or dots for argos).
 DATE_ORDER = {"svs": "mdy", "mikroscan": "mdy", "argos": "mdy", "3dhistech": "dmy"}
@@ -37,11 +37,12 @@ MONTHS = {
 }
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 ORDER_MATTERS = r"^\s*\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\D"
+RULES = 2  # to be raised with every change of what a text means
 SCHEMA = "raw string, date_order string, tz string, utc_us bigint"
 
-_TIME = r"(?P<H>\d{1,2}):(?P<M>\d{2}):(?P<S>\d{2})(?:[.,](?P<f>\d{1,12}))?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?)?(?:\s*Uhr)?"
+_TIME = r"(?P<H>\d{1,2}):(?P<M>\d{2}):(?P<S>\d{2})(?:[.,](?P<f>\d+))?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?)?(?:\s*Uhr)?"
 _ZONE = r"(?:\s*(?P<z>Z|(?:GMT|UTC)?\s*[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5}))?"
-_COMPACT = r"(?P<H>\d{2})(?P<M>\d{2})(?P<S>\d{2})(?:\.(?P<f>\d{1,12}))?"
+_COMPACT = r"(?P<H>\d{2})(?P<M>\d{2})(?P<S>\d{2})(?:\.(?P<f>\d+))?"
 PATTERNS = [
     re.compile(p)
     for p in (
@@ -54,7 +55,7 @@ PATTERNS = [
         rf"(?:[A-Za-z]+)\s+(?P<b>[A-Za-z]+)\s+(?P<d>\d{{1,2}})\s+{_TIME}{_ZONE}\s+(?P<y>\d{{4}})",
     )
 ]
-EPOCH = re.compile(r"(\d{9,10})(?:\.(\d{1,9}))?|(\d{13})(?:\.(\d{1,6}))?|(\d{16})|(\d{19})")
+EPOCH = re.compile(r"(\d{9,10})(?:\.(\d+))?|(\d{13})(?:\.(\d+))?|(\d{16})|(\d{19})")
 _BEGIN = datetime(1970, 1, 1)
 _US = timedelta(microseconds=1)
 
@@ -153,30 +154,33 @@ def date_order_of(fmt: Column, raw: Column) -> Column:
 
 
 def extend_dictionary(keys: DataFrame, path: str) -> DataFrame:
-    """The dictionary at ``path`` after parsing every distinct ``raw, date_order, tz`` of ``keys`` that it lacks."""
+    """The dictionary at ``path`` after parsing every distinct ``raw, date_order, tz`` of ``keys`` that it lacks.
+
+    Runs at once may append a value twice; the dictionary is read with one row per value.
+    """
     spark = keys.sparkSession
     fresh = keys.select("raw", "date_order", "tz").distinct()
     known = spark._jvm.org.apache.hadoop.fs.Path(path)
     if known.getFileSystem(spark._jsc.hadoopConfiguration()).exists(known):
         fresh = fresh.join(spark.read.schema(SCHEMA).parquet(path).select("raw", "date_order", "tz"), ["raw", "date_order", "tz"], "left_anti")
     fresh.mapInArrow(_parse_batches, SCHEMA).write.mode("append").parquet(path)
-    return spark.read.schema(SCHEMA).parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path).groupBy("raw", "date_order", "tz").agg(F.max("utc_us").alias("utc_us"))
 
 
 def normalise_instants(rows: DataFrame, raw: str, fmt: str, tz: str, dictionary: str | None = None) -> DataFrame:
     """``rows`` with ``utc_us``; ``raw``, ``fmt`` and ``tz`` name the columns of text, source format and IANA zone.
 
-    The dictionary is kept at ``dictionary``, else in a new folder of the shared one.
+    The dictionary is kept at ``dictionary``, else in the shared folder under the number of the parsing rules, so that every value
+    is parsed once for all runs. A text that a third of the rows hold is one entry, joined back with salt.
     """
     text, zone = F.col(f"`{raw}`"), F.coalesce(F.col(f"`{tz}`"), F.lit(""))
     rows = rows.drop("utc_us")
-    keyed = rows.withColumns({"__raw": text, "__order": date_order_of(F.col(f"`{fmt}`"), text), "__tz": zone})
-    keys = keyed.where(~blank(text)).select(F.col("__raw").alias("raw"), F.col("__order").alias("date_order"), F.col("__tz").alias("tz"))
-    parsed = extend_dictionary(keys, dictionary or fresh_path(rows.sparkSession, "instants"))
-    entries = parsed.where("utc_us is not null").select(
-        F.col("raw").alias("__raw"), F.col("date_order").alias("__order"), F.col("tz").alias("__tz"), "utc_us"
-    )
-    return keyed.join(entries, ["__raw", "__order", "__tz"], "left").drop("__raw", "__order", "__tz")
+    # written once: the keys and the rows come from the same joins
+    keyed = materialise(rows.withColumns({"__raw": text, "__order": date_order_of(F.col(f"`{fmt}`"), text), "__tz": zone}), "keyed")
+    keys = keyed.where(~blank(F.col("__raw"))).select(F.col("__raw").alias("raw"), F.col("__order").alias("date_order"), F.col("__tz").alias("tz"))
+    parsed = extend_dictionary(keys, dictionary or f"{shared_dir(rows.sparkSession)}/instants-rules-{RULES}")
+    entries = parsed.where("utc_us is not null").withColumnsRenamed({"raw": "__raw", "date_order": "__order", "tz": "__tz"})
+    return salted_join(keyed, entries, ["__raw", "__order", "__tz"]).select(*rows.columns, "utc_us")
 
 
 def site_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,5 +196,3 @@ def instants_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "slide_metadata").select("meta_id", "slide_id", "format", "acquisition_datetime")
     rows = rows.where(~blank(text) & ~text.rlike(CANONICAL)).join(site_zone(spark, sf_dir), "slide_id", "left")
     return normalise_instants(rows, "acquisition_datetime", "format", "tz").where("utc_us is not null").select("meta_id", "utc_us")
-
-

@@ -24,7 +24,7 @@ from slidelake.common import let, table
 
 SEP = "\x1f"
 MASKED = "\x1e"
-VERSION = r"v?\d{1,12}(?:\.[A-Za-z0-9-]{1,12}){1,6}"
+VERSION = r"v?\d+(?:\.[A-Za-z0-9-]+)+"
 #: What parts items outside quotes and brackets: a slash only between blanks, one blank only between two bare versions.
 DELIMITER = r"[;,|\\\t\r\n]|[  ]{2,}|(?<![^  ])/(?![^  ])"
 BETWEEN_VERSIONS = rf"(?<![^\s;,|\\])({VERSION})[  ](?={VERSION}(?:$|[\s;,|\\]))"

@@ -17,7 +17,6 @@ TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i"
 #: Names of compressions and colour models.
 COMPRESSIONS = {1: "NONE", 5: "LZW", 7: "JPEG", 8: "DEFLATE", 22610: "JPEGXR_NDPI", 32946: "DEFLATE", 33003: "APERIO_JP2000_YCBC", 33005: "APERIO_JP2000_RGB", 34712: "JPEG2000", 34933: "PNG", 50000: "ZSTD"}
 PHOTOMETRICS = {0: "MINISWHITE", 1: "MINISBLACK", 2: "RGB", 3: "PALETTE", 6: "YCBCR"}
-MAX_PAGES = 1_000_000
 MAX_RUN = 64 << 20  # bytes of one coalesced read
 
 
@@ -83,7 +82,7 @@ def read_pages(f: BinaryIO) -> list[Page]:
     count_code, entry, next_code, inline = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
     pages, seen = [], set()
     size = f.seek(0, os.SEEK_END)
-    while at and at not in seen and len(pages) < MAX_PAGES:
+    while at and at not in seen:
         seen.add(at)
         f.seek(at)
         raw = f.read(struct.calcsize(order + count_code))

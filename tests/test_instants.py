@@ -30,6 +30,9 @@ CASES = [
     ("0000:00:00 00:00:00", "", BERLIN, None),
     ("2015-01-01 10:00:00", "", None, None),
     ("2015-01-01 10:00:00 UTC", "", None, us(2015, 1, 1, 10)),
+    ("2015-01-30 10:00:00.123456789012345 +00:00", "", None, us(2015, 1, 30, 10) + 123456),
+    ("20150130100000.1234567890123456", "", "UTC", us(2015, 1, 30, 10) + 123456),
+    ("1421135004691.123456789012", "", None, 1421135004691123),
     ("", "", BERLIN, None),
     (None, "", BERLIN, None),
     ("x" * 100_000, "", BERLIN, None),
@@ -51,4 +54,6 @@ def test_join_back_and_incremental_dictionary(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2  # nothing parsed again
     more = spark.createDataFrame([("2016:01:09 06:13:01", "", BERLIN)], "raw string, date_order string, tz string")
     assert extend_dictionary(more, path).count() == 3
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}")  # two runs at once
+    assert normalise_instants(df, "raw", "format", "tz", path).count() == 5
     assert normalise_instants(df.limit(0), "raw", "format", "tz").count() == 0

@@ -12,6 +12,8 @@ CASES = {
     "/ x / y /": ["x", "y"],
     "FW 2012/02/06 / 3.1": ["FW 2012/02/06", "3.1"],
     "v5.15 9.2.4 0.10.19": ["v5.15", "9.2.4", "0.10.19"],
+    "1.2.3.4.5.6.7.8.9 2.0": ["1.2.3.4.5.6.7.8.9", "2.0"],
+    "1.20240131123456789-rc1 12345678901234.5": ["1.20240131123456789-rc1", "12345678901234.5"],
     "Barcode Reader 4.1": ["Barcode Reader 4.1"],
     '14.9\\"5.6"\\v': ["14.9", "5.6", "v"],
     '5" screen; x': ['5" screen', "x"],
