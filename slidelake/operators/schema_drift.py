@@ -1,30 +1,35 @@
 """Schemas that drift between files: one consistent table, and every change reported.
 
-Ingestion enforces a target schema on JSON records. Fields that it lacks, and values that don't cast, are kept as JSON
-in a rescue column; approved fields are promoted to typed columns and the rescued values are replayed into them, those
-of renamed fields under the name they go by now. Nothing is lost on the way.
-
-Changes come from the rescue column: per file and field a small profile (type, share of records, range, a bit set of value
-shapes) is aggregated map-side; only profiles, never records, are compared between a file and the one before it.
+Ingestion parses each JSON record once and enforces a target schema: a value goes to its field's column if it casts; fields
+that the target lacks, and values that don't cast, are kept as JSON in a rescue column. Approved fields are promoted to typed
+columns and the rescued values are replayed into them, those of renamed fields under the name they go by now. Nothing is
+lost on the way. Which kind a field is approved with, the values tell: the one most of them have.
+
+Changes come from the rescue column: its values are replayed into the approved kinds (a table of names, joined, however many
+there are), and per file and field a small profile of what went in and what stayed (type, share of records, range, a bit set
+of value shapes) is aggregated map-side; only profiles, never records, are compared between a file and the one before it.
 A removed field and an added one of the same type are one renamed property if they never occur in one file anywhere and
-their profiles, shares and names agree better than those of any other pair of that step.
+their profiles, shares and names agree better than those of any other pair of that step. Only pairs that have a word of
+their names or a shape of their values in common are looked at.
 
 Defined results
 * null, empty, cut off or otherwise unreadable records, and JSON that is no object, have no fields; their text stays in ``_unreadable``;
 * null values count as absent; exact duplicate rows change nothing; files are ordered by number, whenever they were delivered;
 * a file without readable records has no fields, so all of its predecessor's are removed; the first file of a feed has no changes;
+* strings that hold numbers or truth values cast to them; numbers cast to truth values (0 is false); nothing else casts to another kind;
 * ties between equally good renames: the alphabetically first pair; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from slidelake.common import let, materialise, table
 
-#: Kinds of JSON type by the first word of a variant's type; all numbers are one.
-KINDS = {"BOOLEAN": "boolean", "STRING": "string", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
 #: Column type of a promoted field by kind; lists and objects stay JSON text.
 TYPES = {"number": "double", "boolean": "boolean", "string": "string", "array": "string", "object": "string"}
 MAX_FIELDS = 2000  # names of fields that become columns
@@ -32,15 +37,11 @@ ACCEPT = 0.55  # least agreement of a rename
 EXPECTED = 4.0  # joint occurrences expected by chance from which their absence speaks for one property
 
 
-def kind_of(value: Column) -> Column:
-    """The JSON kind of a variant."""
-    first = F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
-    return let(first, lambda w: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), w), F.when(w.isNotNull(), F.lit("number"))))
-
-
-def _fields(text: Column) -> Column:
-    """``map<string, variant>`` of a readable record, else null."""
-    return let(F.try_parse_json(text), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v.try_cast("map<string,variant>")))
+def kind_of(json: Column) -> Column:
+    """The JSON kind of a JSON text; it shows in the first character."""
+    first = F.substring(json, 1, 1)
+    kinds = F.when(first == '"', "string").when(first == "{", "object").when(first == "[", "array").when(first.isin("t", "f"), "boolean").when(first == "n", "null")
+    return kinds.when(first.isNotNull(), "number")
 
 
 def ingest(records: DataFrame, text: str, target: dict[str, str] | None = None, names: dict[str, list[str]] | None = None) -> DataFrame:
@@ -49,75 +50,102 @@ def ingest(records: DataFrame, text: str, target: dict[str, str] | None = None,
     A value goes to its column if it casts; every other field, and every value that doesn't cast, is rescued.
     ``names`` lists other names that a target field goes by; the first name with a value that casts counts, the rest is rescued.
     """
-    target, names = target or {}, names or {}
-    held = records.withColumn("_fields", _fields(F.col(f"`{text}`")))
-    known = {f: list(dict.fromkeys([f, *names.get(f, [])])) for f in target}
-    typed = {f: F.coalesce(*[_held(n, kind) for n in known[f]]) for f, kind in target.items()}
-    held = held.withColumns({f"_t_{f}": c for f, c in typed.items()})
-    taken = F.array(*[F.col(f"`_t_{f}`.n") for f in target]).cast("array<string>")
-    rest = F.map_filter("_fields", lambda k, v: ~F.array_contains(F.array_compact(taken), k))
-    rescued = F.transform_values(rest, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
-    kept = held.withColumns({"_rescued": rescued, "_readable": F.col("_fields").isNotNull(), "_unreadable": F.when(F.col("_fields").isNull(), F.col(f"`{text}`"))})
-    kept = kept.withColumns({f"_t_{f}": F.col(f"`_t_{f}`.v") for f in target})
-    return kept.drop("_fields", *target).withColumnsRenamed({f"_t_{f}": f for f in target})
+    value = F.try_parse_json(F.col(f"`{text}`"))
+    fields = let(value, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v.try_cast("map<string,variant>")))
+    rescued = F.transform_values(fields, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+    held = records.withColumn("_rescued", rescued).withColumn("_readable", F.col("_rescued").isNotNull())
+    held = held.withColumn("_unreadable", F.when(~F.col("_readable"), F.col(f"`{text}`")))
+    return promote(held, target, names) if target else held
+
 
+def _number(json: Column) -> Column:
+    first = F.substring(json, 1, 1)
+    return F.when(first.isin(*"-0123456789"), json).when(first == '"', json.substr(F.lit(2), F.length(json) - 2)).try_cast("double")
 
-def _held(name: str, kind: str) -> Column:
-    """``struct<v, n>``: value and name of a field that casts to a kind, else null."""
-    return let(_cast(F.element_at("_fields", F.lit(name)), kind), lambda v: F.when(v.isNotNull(), F.struct(v.alias("v"), F.lit(name).alias("n"))))
 
+def _truth(json: Column) -> Column:
+    inner = F.when(F.substring(json, 1, 1) == '"', json.substr(F.lit(2), F.length(json) - 2)).try_cast("boolean")
+    return F.when(json.isin("true", "false"), json == "true").when(inner.isNotNull(), inner).otherwise(_number(json) != 0)
 
-def _cast(value: Column, kind: str) -> Column:
-    """A variant as a column of a kind; null if it doesn't cast (or is null)."""
-    if kind in ("array", "object"):
-        return F.when(kind_of(value) == kind, F.to_json(value))
-    if kind == "string":
-        return F.when(kind_of(value) == "string", F.try_variant_get(value, "$", "string"))
-    return F.try_variant_get(value, "$", TYPES[kind])
 
+def replayed(json: Column, kind: Column) -> Column:
+    """A rescued JSON text as JSON of a kind; null if it doesn't cast (or is null)."""
+    same = F.when(kind_of(json) == kind, json)
+    finite = let(_number(json), lambda n: F.when(~F.isnan(n) & (F.abs(n) != float("inf")), F.regexp_extract(F.to_json(F.struct(n.alias("n"))), ":(.*)}$", 1)))
+    return F.when(kind == "number", F.coalesce(same, finite)).when(kind == "boolean", _truth(json).cast("string")).otherwise(same)
 
-def promote(ingested: DataFrame, field: str, kind: str, names: list[str] | None = None) -> DataFrame:
-    """Approve ``field``: a typed column, into which rescued values under any of ``names`` (the field's own included) are replayed.
 
-    The first name with a value that casts wins; its rescued value is taken out, all others stay.
+def promote(ingested: DataFrame, fields: dict[str, str], names: dict[str, list[str]] | None = None) -> DataFrame:
+    """Approve ``fields`` (name to kind): typed columns, into which rescued values under the field's name or any of its ``names`` are replayed.
+
+    The first name with a value that casts wins; its rescued value is taken out, all others stay. Each rescued value is looked at
+    once and the columns are parsed from what casts, so the plan doesn't grow with the fields.
+    Columns that clash with a field are kept where they are typed already, and only their gaps filled; others are replaced.
     """
-    names = list(dict.fromkeys([field, *(names or [])]))
-    parsed = [_cast(F.try_parse_json(F.element_at("_rescued", F.lit(n))), kind) for n in names]
-    source = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in zip(names, parsed)])
-    old = F.col(f"`{field}`") if field in ingested.columns else F.lit(None).cast(TYPES[kind])
-    moved = ingested.withColumns({"_value": F.coalesce(old, *parsed), "_from": F.when(old.isNull(), source)})
-    rest = F.map_filter("_rescued", lambda k, v: ~k.eqNullSafe(F.col("_from")))
-    return moved.withColumn("_rescued", rest).drop("_from", *([field] if field in ingested.columns else [])).withColumnRenamed("_value", field)
+    known = {n: (f, i) for f in reversed(fields) for i, n in reversed(list(enumerate(dict.fromkeys([f, *(names or {}).get(f, [])]))))}
+    types = dict(ingested.dtypes)
+    typed = [f for f, kind in fields.items() if types.get(f) == TYPES[kind]]
+    about = F.create_map(*[x for n, (f, i) in known.items() for x in (F.lit(n), F.struct(F.lit(json.dumps(f)).alias("field"), F.lit(i).alias("rank"), F.lit(fields[f]).alias("kind")))])
+    filled = F.array_compact(F.array(*[F.when(F.col(f"`{f}`").isNotNull(), F.lit(json.dumps(f))) for f in typed])).cast("array<string>")
+
+    def entry(e: Column) -> Column:
+        return let(F.element_at(about, e.key), lambda a: F.struct(a.field.alias("field"), a.rank.alias("rank"), F.when(~F.array_contains("_filled", a.field), replayed(e.value, a.kind)).alias("cast"), e.key.alias("key"), e.value.alias("value")))
+
+    def chosen(es: Column) -> Column:
+        first = lambda e: e["cast"].isNotNull() & ~F.exists(es, lambda o: (o.field == e.field) & o["cast"].isNotNull() & (o.rank < e["rank"]))
+        return F.transform(es, lambda e: F.struct(F.coalesce(first(e), F.lit(False)).alias("in"), e.field.alias("field"), e["cast"].alias("cast"), e.key.alias("key"), e.value.alias("value")))
+
+    each = ingested.withColumn("_filled", filled).withColumn("_entries", let(F.transform(F.map_entries("_rescued"), entry), chosen))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.filter("_entries", lambda e: e["in"]), lambda e: F.concat(e.field, F.lit(":"), e["cast"])), ","), F.lit("}"))
+    schema = StructType([StructField(f, _parse_datatype_string(TYPES[kind])) for f, kind in fields.items()])
+    rest = F.map_from_entries(F.transform(F.filter("_entries", lambda e: ~e["in"]), lambda e: F.struct(e.key.alias("key"), e.value.alias("value"))))
+    parsed = each.withColumn("_new", F.from_json(text, schema)).withColumn("_rescued", rest)
+    columns = {f"_typed_{i}": F.coalesce(F.col(f"`{f}`"), F.col(f"_new.`{f}`")) if f in typed else F.col(f"_new.`{f}`") for i, f in enumerate(fields)}
+    return parsed.withColumns(columns).drop("_filled", "_entries", "_new", *fields).withColumnsRenamed({f"_typed_{i}": f for i, f in enumerate(fields)})
 
 
 def _shapes(json: Column) -> Column:
     """A bit set of the shapes of the words and numbers in a JSON text."""
-    words = F.transform(F.regexp_extract_all(json, F.lit(r"([A-Za-z_][A-Za-z0-9_+-]*)"), F.lit(1)), lambda w: F.regexp_replace(w, r"\d", "9"))
-    numbers = F.transform(
-        F.regexp_extract_all(json, F.lit(r"(?<![A-Za-z0-9_.-])(-?\d+(?:\.\d+)?)"), F.lit(1)),
-        lambda n: F.concat(F.lit("#"), F.length(F.regexp_replace(n, r"\..*$", "")), F.lit("."), F.length(F.regexp_replace(n, r"^[^.]*\.?", ""))),
-    )
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(63)).cast("int"))
-    return F.aggregate(F.concat(words, numbers), F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(bit(w)))
+    digits = lambda n: F.concat(F.lit("#"), F.length(F.substring_index(n, ".", 1)), F.lit("."), F.when(F.contains(n, F.lit(".")), F.length(F.substring_index(n, ".", -1))).otherwise(0))
+    words = F.transform(F.regexp_extract_all(json, F.lit(r"([A-Za-z_][A-Za-z0-9_+-]*)"), F.lit(1)), lambda w: F.regexp_replace(w, r"\d", "9"))
+    numbers = F.transform(F.regexp_extract_all(json, F.lit(r"(?<![A-Za-z0-9_.-])(-?\d+(?:\.\d+)?)"), F.lit(1)), digits)
+    each = F.aggregate(F.concat(words, numbers), F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(bit(w)))
+    # a lone number or truth value has one shape: no search for words
+    plain = F.substring(json, 1, 1).isin(*"-0123456789") & ~F.contains(json, F.lit("E"))
+    return F.when(plain, bit(digits(json))).when(json.isin("true", "false"), bit(json)).otherwise(each)
+
+
+def rescued_values(ingested: DataFrame) -> DataFrame:
+    """``feed_id, file_seq, field, value, kind`` of every rescued value that isn't null."""
+    rows = ingested.select("feed_id", "file_seq", F.explode("_rescued").alias("field", "value"))
+    return rows.where("value != 'null'").withColumn("kind", kind_of(F.col("value")))
+
+
+def approved_kinds(values: DataFrame) -> DataFrame:
+    """``field, approved, records``: the kind that most of a field's values have, the alphabetically last of equally frequent ones."""
+    per_kind = values.groupBy("field", "kind").agg(F.count("*").alias("n"))
+    return per_kind.groupBy("field").agg(F.max_by("kind", F.struct("n", "kind")).alias("approved"), F.sum("n").alias("records"))
 
 
 def file_profiles(ingested: DataFrame) -> DataFrame:
-    """Per feed, file and field of ``_rescued``: kind, records, share, range and shapes."""
-    rows = ingested.select("feed_id", "file_seq", F.posexplode(F.map_entries("_rescued")).alias("_", "e")).select("feed_id", "file_seq", "e.key", "e.value")
-    rows = rows.where("value != 'null'")
-    # the kind shows in the first character of JSON text; only numbers are cast, as a failed cast is slow
-    first = F.substring("value", 1, 1)
-    number = F.when(first.isin(*"-0123456789"), F.col("value").try_cast("double"))
-    kind = F.when(first == '"', "string").when(first == "{", "object").when(first == "[", "array").when(first.isin("t", "f"), "boolean").otherwise("number")
-    yes = F.when(F.col("value") == "true", 1.0).when(F.col("value") == "false", 0.0)
-    per_kind = rows.groupBy("feed_id", "file_seq", F.col("key").alias("field"), kind.alias("kind")).agg(
-        F.count("*").alias("records"), F.avg(F.coalesce(yes, number)).alias("mean"), F.min(number).alias("low"), F.max(number).alias("high"), F.bit_or(_shapes(F.col("value"))).alias("shapes")
+    """Per feed, file and field of ``_rescued``: kind, records, share, range and shapes, and how many values stay rescued when replayed into the approved kind."""
+    values = rescued_values(ingested)
+    approved = materialise(approved_kinds(values), "approved")
+    # the table of names joins the values; a promoted field takes what casts to its kind
+    rows = values.join(approved.select("field", "approved"), "field")
+    value, kind = F.col("value"), F.col("approved")
+    number = F.when(F.col("kind") == "number", value.try_cast("double"))
+    yes = F.when(value == "true", 1.0).when(value == "false", 0.0)
+    fits = F.when(kind == F.col("kind"), True).when(kind == "number", _number(value).isNotNull()).when(kind == "boolean", _truth(value).isNotNull()).otherwise(False)
+    per_kind = rows.groupBy("feed_id", "file_seq", "field", "kind").agg(
+        F.count("*").alias("records"), F.count_if(~fits).alias("kept"), F.avg(F.coalesce(yes, number)).alias("mean"), F.min(number).alias("low"), F.max(number).alias("high"), F.bit_or(_shapes(value)).alias("shapes")
     )
     top = F.max_by(F.struct("kind", "records", "mean", "low", "high", "shapes"), F.struct("records", "kind"))
-    merged = per_kind.groupBy("feed_id", "file_seq", "field").agg(top.alias("p"), F.sum("records").alias("n"))
+    merged = per_kind.groupBy("feed_id", "file_seq", "field").agg(top.alias("p"), F.sum("records").alias("n"), F.sum("kept").alias("kept"))
     sizes = ingested.groupBy("feed_id", "file_seq").agg(F.count_if("_readable").alias("readable"))
     return merged.join(sizes, ["feed_id", "file_seq"]).select(
-        "feed_id", "file_seq", "field", "p.kind", F.col("n").alias("records"), (F.col("n") / F.col("readable")).alias("share"), "p.mean", "p.low", "p.high", "p.shapes"
+        "feed_id", "file_seq", "field", "p.kind", F.col("n").alias("records"), "kept", (F.col("n") / F.col("readable")).alias("share"), "p.mean", "p.low", "p.high", "p.shapes"
     )
 
 
@@ -144,7 +172,12 @@ def _agreement(r: str, a: str) -> Column:
 
 def rename_candidates(removed: DataFrame, added: DataFrame, profiles: DataFrame) -> DataFrame:
     """Removed and added fields of one kind and step with their agreement; pairs that occur together in any file are out."""
-    pairs = removed.alias("r").join(added.alias("a"), (F.col("r.feed_id") == F.col("a.feed_id")) & (F.col("r.next_seq") == F.col("a.file_seq")) & (F.col("r.kind") == F.col("a.kind")))
+    bits = F.transform(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.col("shapes").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0), lambda i: i.cast("string"))
+    blocks = lambda df, step: df.select("feed_id", F.col(step).alias("step"), "kind", "field", F.explode(F.concat(_name_words(F.col("field")), bits)).alias("block"))
+    old, new = blocks(removed, "next_seq"), blocks(added, "file_seq").withColumnRenamed("field", "new_field")
+    met = old.join(new, ["feed_id", "step", "kind", "block"]).select("feed_id", "step", "field", "new_field").distinct()
+    side = lambda df, step, name, which: df.select("feed_id", F.col(step).alias("step"), F.col("field").alias(name), F.struct(*df.columns).alias(which))
+    pairs = met.join(side(removed, "next_seq", "field", "r"), ["feed_id", "step", "field"]).join(side(added, "file_seq", "new_field", "a"), ["feed_id", "step", "new_field"]).select("r", "a")
     scored = pairs.select(
         F.col("a.feed_id").alias("feed_id"), F.col("a.file_seq").alias("file_seq"), F.col("r.field").alias("field"), F.col("a.field").alias("new_field"), _agreement("r", "a").alias("agreement")
     )
@@ -199,7 +232,8 @@ def schema_changes(profiles: DataFrame, files: DataFrame, accept: float = ACCEPT
 def target_schema(profiles: DataFrame, changes: DataFrame, most: int = MAX_FIELDS) -> tuple[dict[str, str], dict[str, list[str]]]:
     """Approved fields with their kinds, and the other names of each: names joined by renames are one field.
 
-    Works on the vocabulary of field names; refuses one of more than ``most`` names. All renames between them are followed.
+    The columns of a table have to be known to the driver: it works on the vocabulary of field names and refuses one of more
+    than ``most``. All renames between them are followed.
     A field goes by its most frequent name and kind. Names that differ in case alone are one column.
     """
     per_kind = profiles.groupBy("field", "kind").agg(F.sum("records").alias("n"))
@@ -229,11 +263,18 @@ def target_schema(profiles: DataFrame, changes: DataFrame, most: int = MAX_FIELD
     return fields, names
 
 
+def rescue_table(records: DataFrame, text: str) -> DataFrame:
+    """``records`` parsed once and written: keys, ``_rescued``, ``_readable``, ``_unreadable``."""
+    keys = [c for c in ("record_id", "slide_id", "feed_id", "file_seq") if c in records.columns]
+    return materialise(ingest(records.select(*keys, text), text).drop(text), "rescued")
+
+
 def consistent_table(records: DataFrame, text: str = "properties") -> DataFrame:
     """Every record in one table: its keys, a typed column per field (renames followed), the rest rescued as JSON."""
-    profiles = materialise(file_profiles(ingest(records, text)), "profiles")
-    fields, names = target_schema(profiles, schema_changes(profiles, records))
-    wide = ingest(records.select("record_id", "slide_id", "feed_id", "file_seq", text), text, fields, names)
+    rescue = rescue_table(records, text)
+    profiles = materialise(file_profiles(rescue), "profiles")
+    fields, names = target_schema(profiles, schema_changes(profiles, rescue))
+    wide = promote(rescue, fields, names)
     rescued = F.when(F.cardinality("_rescued") > 0, F.to_json("_rescued"))
     columns = [F.col(f"`{f}`") for f in sorted(fields)]
     return wide.select("record_id", "slide_id", "feed_id", "file_seq", *columns, rescued.alias("_rescued"), "_unreadable")
@@ -250,6 +291,6 @@ def records_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changes_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change between a file of a feed and the one before it."""
-    records = _records(spark, sf_dir)
-    profiles = materialise(file_profiles(ingest(records, "properties")), "profiles")
-    return schema_changes(profiles, records).select("feed_id", "file_seq", "change_kind", "field", "new_field")
+    rescue = rescue_table(_records(spark, sf_dir), "properties")
+    profiles = materialise(file_profiles(rescue), "profiles")
+    return schema_changes(profiles, rescue).select("feed_id", "file_seq", "change_kind", "field", "new_field")

@@ -52,7 +52,7 @@ def test_ingest_rescues_and_promotes(spark):
     assert [r["a"] for r in got] == [1.5, None, None, None]
     assert got[0]["_rescued"] == {"b": "true", "c": '{"x":1}'} and got[1]["_rescued"] == {"a": '"many"', "B2": "false"}
     assert got[2]["_unreadable"] == "{" and got[3]["_rescued"] is None
-    p = [r.asDict() for r in sd.promote(sd.ingest(df, "properties", {"a": "number"}), "b", "boolean", ["B2"]).orderBy("record_id").collect()]
+    p = [r.asDict() for r in sd.promote(sd.ingest(df, "properties", {"a": "number"}), {"b": "boolean"}, {"b": ["B2"]}).orderBy("record_id").collect()]
     assert [r["b"] for r in p] == [True, False, None, None] and p[1]["_rescued"] == {"a": '"many"'}
 
 
@@ -70,3 +70,21 @@ def test_bound_counts_names_and_is_no_cut(spark):
     assert sd.target_schema(profiles, renamed, most=2)[0] == {"a": "number", "b": "number"}  # a's kinds don't use up the bound
     with pytest.raises(ValueError, match="more than 1 field names"):
         sd.target_schema(profiles, renamed, most=1)
+
+
+def test_values_that_cast_are_replayed(spark):
+    rows = [{"n": "2.5", "b": "yes", "s": 'q"x', "o": {"k": [1]}}, {"n": True, "b": 0, "s": 7, "o": 1}, {"n": None, "b": None}]
+    target = {"n": "number", "b": "boolean", "s": "string", "o": "object"}
+    got = [r.asDict() for r in sd.ingest(build(spark, {(1, 1): rows}), "properties", target).orderBy("record_id").collect()]
+    assert [(r["n"], r["b"], r["s"], r["o"]) for r in got] == [(2.5, True, 'q"x', '{"k":[1]}'), (None, False, None, None), (None, None, None, None)]
+    assert got[0]["_rescued"] == {} and got[1]["_rescued"] == {"n": "true", "s": "7", "o": "1"} and got[2]["_rescued"] == {"n": "null", "b": "null"}
+
+
+def test_many_fields_and_a_replaced_schema(spark):
+    """2,500 fields: all changes are reported, the table refuses aloud; pairs without a common word or shape aren't renames."""
+    wide = {f"field_{i}": i for i in range(1250)}, {f"column{i}": f"w{chr(97 + i % 26)}" for i in range(1250)}
+    df = build(spark, {(1, 1): [wide[0]], (1, 2): [wide[1]]})
+    found = changes(df)
+    assert len(found) == 2500 and {c[2] for c in found} == {"added", "removed"}
+    with pytest.raises(ValueError, match="more than 2000 field names"):
+        sd.consistent_table(df)
