@@ -1,16 +1,19 @@
 """The same quantity recorded in different units: every value in picometres.
 
-A *source* is a field with one way of naming its unit (or of naming none). Records of the same slide link sources:
-per slide the surest other source gives a robust centre, per source the quantiles of the log ratio to that centre give
-scale and spread (straight and reciprocal), a line through two medians the offset, and a tight scale without offset snaps to a known conversion. Sources snapped in one round
-anchor further slides in the next, so that knowledge spreads through the source graph.
+A *source* is a field as one scanner format at one site writes it, with a known unit, with an unknown one or bare; what a
+source writes may mix several conversions. Records of the same slide link sources: every value with several open conversions
+is compared with the centre of the surest other source of its slide. Per pair of sources and conversion the quantiles of the
+log ratio give scale and spread, a line through two medians the offset; a tight scale without offset snaps to the known
+conversion. What snaps in one round anchors further slides in the next, so that knowledge spreads through the source graph,
+round by round until no further conversion of any source snaps.
 
 A record's unit is, in this order: the one written with it; the one plausible conversion; of several plausible ones that
-of its note, that of its source's snapped conversion where a unit is written but unknown, that which agrees with its slide,
-that of its source, the first of a fixed order.
+of its note, the commonest one that its source snapped to where a unit is written but unknown, that which agrees with its
+slide, the commonest one of its source (of its format at any site, of its field, where the source has none), the first of a fixed order.
 
 Only mergeable sketches (``percentile_approx``) are kept per slide and source, so one slide or source may hold any share
-of the rows. Links go from each source to the slide's centre, never between all pairs. No table is collected or broadcast by hint.
+of the rows. Links go from each value to one centre of its slide, never between all pairs of rows; only slides with values that
+are open go into the graph. No table is collected or broadcast by hint.
 
 Defined results
 * null, blank, placeholder, unreadable, zero and negative numbers, and values past 64 bits of picometres: no row (per axis);
@@ -22,7 +25,6 @@ Defined results
 
 from __future__ import annotations
 
-import itertools
 import math
 from functools import reduce
 
@@ -172,8 +174,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = [F.when(~macro & (F.col(c) > 0), F.col(c).cast("double")) for c in ("pixel_size_x", "pixel_size_y")]
     view = _observation(leica.where(digit("view_size_x", "view_size_y")), "view_size", "image_id", F.col("view_size_x"), F.col("view_size_y"), F.col("view_unit"), none, pixels)
     obs = mpp.unionByName(spacing).unionByName(view).withColumn("open", _choices(F.col("field")))
-    unnamed = F.array_join(F.transform("open", lambda c: F.concat(c.unit, F.when(c.recip, "^-1").otherwise(""))), "|")
-    return obs.withColumn("source", F.concat_ws(":", "field", F.when(F.col("unit").isNotNull(), F.lit("named")).otherwise(F.concat_ws("?", F.lit(""), F.coalesce("spelled", F.lit("")), unnamed))))
+    return obs.withColumn("how", F.when(F.col("unit").isNotNull(), "named").otherwise(F.coalesce(F.concat(F.lit("?"), F.nullif("spelled", F.lit(""))), F.lit("bare"))))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``slide_id, format, site``: where a slide was scanned, one row per slide."""
+    slides = table(spark, sf_dir, "slides")
+    return slides.groupBy("slide_id").agg(F.min("format").alias("format"), F.min("site_id").cast("string").alias("site"))
 
 
 def _pixel(pm: Column, pixels: Column) -> Column:
@@ -181,108 +188,130 @@ def _pixel(pm: Column, pixels: Column) -> Column:
     return F.when(F.col("field") == "view_size", pm / pixels).otherwise(pm)
 
 
-def _hubs(anchored: DataFrame) -> DataFrame:
-    """``slide_id, hubs``: the median pixel of each of a slide's two surest sources (a list of sources, not of rows, is sorted)."""
+def _centres(rows: DataFrame, sureness: Column) -> DataFrame:
+    """``slide_id, node, sureness, centre``: the median pixel of each of a slide's ways of writing, of rows with a ``chosen`` conversion."""
     chosen = F.col("chosen")
     pixel = F.coalesce(_pixel(chosen.pm1, F.col("p1")), _pixel(chosen.pm2, F.col("p2")))
-    per_source = anchored.where("slide_id is not null").groupBy("slide_id", "source", "sureness").agg(F.percentile_approx(pixel, 0.5, 100).alias("centre"))
-    hubs = F.slice(F.array_sort(F.collect_list(F.struct("sureness", "source", "centre"))), 1, 2)
-    return per_source.where("centre > 0").groupBy("slide_id").agg(hubs.alias("hubs"))
+    per = rows.where("slide_id is not null").groupBy("slide_id", F.concat_ws("|", "field", "how").alias("node"), sureness.alias("sureness"))
+    return per.agg(F.percentile_approx(pixel, 0.5, 100).alias("centre")).where("centre > 0")
+
+
+def _hubs(centres: DataFrame) -> DataFrame:
+    """``slide_id, hubs``: the two surest of a slide's centres (a list of ways of writing, not of rows, is sorted)."""
+    return centres.groupBy("slide_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("sureness", "node", "centre"))), 1, 2).alias("hubs"))
+
+
+def _linked(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Rows with the surest ``hub`` of their slide that isn't their own way of writing, so that no source confirms itself."""
+    own = F.concat_ws("|", "field", "how")
+    return rows.join(hubs, "slide_id", "left").withColumn("hub", F.get(F.filter("hubs", lambda h: h.node != own), F.lit(0))).drop("hubs")
+
+
+def _off() -> Column:
+    """The open conversion that agrees with the hub best, as ``struct<away, choice>``; null if none does."""
 
+    def away(c: Column) -> Column:
+        pixel = F.coalesce(_pixel(c.pm1, F.col("p1")), _pixel(c.pm2, F.col("p2")))
+        return F.abs(F.log10(pixel / F.col("hub.centre")))
 
-def _centre() -> Column:
-    """The pixel of the surest of a slide's other sources, so that no source confirms itself."""
-    return F.get(F.filter("hubs", lambda h: h.source != F.col("source")), F.lit(0)).centre
+    return F.array_min(F.filter(F.transform("open", lambda c: F.struct(away(c).alias("away"), c.alias("choice"))), lambda x: x.away < AGREE))
 
 
 def source_graph(linked: DataFrame) -> DataFrame:
-    """Per source: links, robust scale, offset and spread against the slides' centres, and the conversion it snaps to, if any.
+    """Per pair of sources and conversion: links, robust scale, offset and spread, and whether the source snaps to it.
 
-    The scale is the median log ratio, its spread the range of the middle nine tenths (mixed units spread). The offset is where the line through the medians of the
-    links below and above ``SPLIT`` meets zero, as a share of the median number; known conversions have none, so a source with
-    an offset snaps to none. Straight and reciprocal relations are both tried, the tighter one counts.
+    The scale is the median log ratio of the numbers to what the other source says, its spread the range of the middle nine
+    tenths. The offset is where the line through the medians of the links below and above ``SPLIT`` meets zero, as a share of the
+    median number; known conversions have none, so a pair with an offset snaps to none.
     """
     number = F.coalesce(F.col("n1"), F.col("n2"))
     pixels = F.when(F.col("field") == "view_size", F.coalesce(F.when(F.col("n1").isNotNull(), F.col("p1")), F.col("p2"))).otherwise(F.lit(1.0))
-    links = linked.where(F.col("centre").isNotNull() & pixels.isNotNull()).select("source", (number / pixels).alias("n"), F.col("centre").alias("c"))
-    below = F.col("c") < SPLIT
-    half = lambda side, x, name: F.percentile_approx(F.when(side, x), 0.5, 1000).alias(name)
-    parts = links.groupBy("source").agg(
-        F.count("*").alias("links"),
-        F.percentile_approx(F.log10("n") - F.log10("c"), [0.05, 0.5, 0.95], 1000).alias("straight"),
-        F.percentile_approx(F.log10("n") + F.log10("c"), [0.05, 0.5, 0.95], 1000).alias("reciprocal"),
-        F.percentile_approx("n", 0.5, 1000).alias("middle"),
-        half(below, F.col("n"), "n_low"), half(~below, F.col("n"), "n_high"), half(below, F.col("c"), "c_low"), half(~below, F.col("c"), "c_high"),
+    links = linked.where("hub is not null").withColumn("best", _off().choice).where(F.col("best").isNotNull() & pixels.isNotNull())
+    ratio = F.when(F.col("best.recip"), F.log10("n") + F.log10("c")).otherwise(F.log10("n") - F.log10("c"))
+    each = links.select(F.explode("sources").alias("source"), F.col("hub.node").alias("anchor"), "best.unit", "best.recip", (number / pixels).alias("n"), F.col("hub.centre").alias("c"), "best").withColumn("ratio", ratio)
+    below, x = F.col("c") < SPLIT, F.when(F.col("recip"), 1 / F.col("c")).otherwise(F.col("c"))
+    half = lambda side, v, name: F.percentile_approx(F.when(side, v), 0.5, 1000).alias(name)
+    parts = each.groupBy("source", "anchor", "unit", "recip").agg(
+        F.count("*").alias("links"), F.percentile_approx("ratio", [0.05, 0.5, 0.95], 1000).alias("q"), F.percentile_approx("n", 0.5, 1000).alias("middle"),
+        half(below, F.col("n"), "n_low"), half(~below, F.col("n"), "n_high"), half(below, x, "x_low"), half(~below, x, "x_high"),
     )
-    spread = lambda c: c[2] - c[0]
-    recip = spread(F.col("reciprocal")) < spread(F.col("straight"))
-    tight = F.when(recip, F.col("reciprocal")).otherwise(F.col("straight"))
-    x_low, x_high = (F.when(recip, 1 / F.col(c)).otherwise(F.col(c)) for c in ("c_low", "c_high"))
-    slope = (F.col("n_high") - F.col("n_low")) / F.nullif(x_high - x_low, F.lit(0.0))
-    offset = (F.col("n_low") - slope * x_low) / F.col("middle")
-    away = lambda u, r: F.abs(F.lit(math.log10(PM[u]) * (1 if r else -1)) - tight[1])
-    options = F.array(*[F.struct(F.when(recip == F.lit(r), away(u, r)).otherwise(F.lit(9.0)).alias("away"), F.lit(u).alias("unit"), F.lit(r).alias("recip")) for u, r in STRAIGHT + RECIPROCAL])
-    near = F.array_min(options)
-    measured = parts.select("source", "links", recip.alias("reciprocal"), F.pow(F.lit(10.0), tight[1]).alias("scale"), spread(tight).alias("spread"), offset.alias("offset"), near.alias("near"))
-    sure = (F.col("links") >= MIN_LINKS) & (F.col("spread") < SPREAD) & (F.col("near.away") < SNAP) & (F.coalesce(F.abs("offset"), F.lit(0.0)) < OFFSET)
-    return measured.select("source", "links", "reciprocal", "scale", "offset", "spread", F.when(sure, F.col("near.unit")).alias("snap_unit"), F.when(sure, F.col("near.recip")).alias("snap_recip"))
+    slope = (F.col("n_high") - F.col("n_low")) / F.nullif(F.col("x_high") - F.col("x_low"), F.lit(0.0))
+    offset = (F.col("n_low") - slope * F.col("x_low")) / F.col("middle")
+    exact = F.element_at(F.create_map(*[F.lit(v) for u, p in PM.items() for v in (u, math.log10(p))]), F.col("unit"))
+    known = F.abs(F.col("q")[1] - F.when(F.col("recip"), exact).otherwise(-exact))
+    measured = parts.select("source", "anchor", "unit", "recip", "links", F.pow(F.lit(10.0), F.col("q")[1]).alias("scale"), offset.alias("offset"), (F.col("q")[2] - F.col("q")[0]).alias("spread"), known.alias("away"))
+    sure = (F.col("links") >= MIN_LINKS) & (F.col("spread") < SPREAD) & (F.col("away") < SNAP) & (F.coalesce(F.abs("offset"), F.lit(0.0)) < OFFSET)
+    return measured.withColumn("snaps", sure)
 
 
-def _matching(unit: str, recip: str) -> Column:
-    """The open conversion that two columns name, if it is open."""
-    return F.get(F.filter("open", lambda c: (c.unit == F.col(unit)) & (c.recip == F.col(recip))), F.lit(0))
+def _modes(graph: DataFrame) -> DataFrame:
+    """``source, modes``: the conversions that a source snaps to, the one with most links first."""
+    total = graph.where("snaps").groupBy("source", "unit", "recip").agg(F.sum("links").alias("links"))
+    return total.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("links")).alias("less"), "unit", "recip"))), lambda m: F.struct(m.unit.alias("unit"), m.recip.alias("recip"))).alias("modes"))
 
 
-def spread_knowledge(obs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``slide_id, hubs`` and the source graph after snapping sources and anchoring slides by them, ``rounds`` at least, then until no further source snaps.
+def _with_modes(rows: DataFrame, modes: DataFrame) -> DataFrame:
+    """Rows with ``likely``: the open conversions that their source snaps to, commonest first; of the first of ``sources`` that has any."""
+    for i in range(3):
+        rows = rows.withColumn("_s", F.get("sources", F.lit(i))).join(modes.select(F.col("source").alias("_s"), F.col("modes").alias(f"_m{i}")), "_s", "left").drop("_s")
+    fitting = lambda i: F.flatten(F.transform(f"_m{i}", lambda m: F.filter("open", lambda c: (c.unit == m.unit) & (c.recip == m.recip))))
+    some = lambda c: let(c, lambda a: F.when(F.size(a) > 0, a))
+    return rows.withColumn("likely", F.coalesce(*[some(fitting(i)) for i in range(3)])).drop("_m0", "_m1", "_m2")
 
-    Each round past ``rounds`` needs a source that never snapped before, so the rounds end. The graph has one row per source.
-    """
-    graph = ever = None
-    only_one = F.when(F.size("open") == 1, F.get("open", F.lit(0)))
-    for done in itertools.count(1):
-        known = obs if graph is None else obs.join(graph.where("snap_unit is not null").select("source", "snap_unit", "snap_recip"), "source", "left")
-        chosen = only_one if graph is None else F.coalesce(only_one, _matching("hint", "hint_recip"), _matching("snap_unit", "snap_recip"))
-        sureness = F.when(F.col("unit").isNotNull(), 0).when(F.size("open") == 1, 1).otherwise(2)
-        hubs = materialise(_hubs(known.withColumns({"chosen": chosen, "sureness": sureness}).where("chosen is not null")), "hubs")
-        graph = materialise(source_graph(obs.where(F.size("open") > 1).join(hubs, "slide_id").withColumn("centre", _centre())), "graph")
-        snapped = graph.where("snap_unit is not null").select("source")
-        fresh = snapped if ever is None else snapped.join(ever, "source", "left_anti")
-        if done >= rounds and fresh.isEmpty():
-            return hubs, graph
-        ever = snapped if ever is None else ever.unionByName(fresh)
+
+def _hinted() -> Column:
+    """The open conversion that the note names, if it is open."""
+    return F.get(F.filter("open", lambda c: (c.unit == F.col("hint")) & (c.recip == F.col("hint_recip"))), F.lit(0))
 
 
 def _kept_observations(obs: DataFrame) -> DataFrame:
     return materialise(obs, "units").where((F.size("open") > 0) & F.expr("n1 is not null or n2 is not null"))
 
 
-def common_units(obs: DataFrame, rounds: int = 2) -> DataFrame:
-    """``record_id, field, unit, recip, pm1, pm2`` of every observation; ``rounds`` at least of spreading through the source graph."""
-    obs = _kept_observations(obs)
-    hubs, graph = spread_knowledge(obs, rounds)
-    snapped = graph.where("snap_unit is not null").select("source", "snap_unit", "snap_recip")
-    open_rows = obs.where(F.size("open") > 1).join(hubs, "slide_id", "left").join(snapped, "source", "left").withColumn("centre", _centre())
-
-    def off(c: Column) -> Column:
-        pixel = F.coalesce(_pixel(c.pm1, F.col("p1")), _pixel(c.pm2, F.col("p2")))
-        return F.abs(F.log10(pixel / F.col("centre")))
+def spread_knowledge(obs: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Open rows, ``slide_id, hubs`` and the source graph, after rounds of snapping sources and anchoring slides until nothing more snaps.
 
-    agreed = F.array_min(F.filter(F.transform("open", lambda c: F.struct(off(c).alias("off"), c.alias("choice"))), lambda x: x.off < AGREE)).choice
-    snap = _matching("snap_unit", "snap_recip")
-    pick = F.coalesce(_matching("hint", "hint_recip"), F.when(F.coalesce(F.col("spelled"), F.lit("")) != "", snap), agreed, snap, F.get("open", F.lit(0)))
-    picked = open_rows.withColumn("chosen", pick).unionByName(obs.where(F.size("open") == 1).withColumn("chosen", F.get("open", F.lit(0))), allowMissingColumns=True)
+    Every round but the last snaps a conversion of a source that hadn't snapped before, so the rounds end.
+    """
+    levels = [["field", "how", "format", "site"], ["field", "how", "format"], ["field", "how"]]
+    placed = obs.where(F.size("open") > 1).join(where, "slide_id", "left")
+    names = [F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in level]) for level in levels]
+    rows = materialise(placed.withColumn("sources", F.array(*names)), "open")
+    asked = rows.where("slide_id is not null").select("slide_id").distinct()
+    only = obs.where(F.size("open") == 1).withColumn("chosen", F.get("open", F.lit(0))).join(asked, "slide_id", "left_semi")
+    sure = materialise(_centres(only, F.when(F.col("unit").isNotNull(), 0).otherwise(1)), "sure")
+    modes, snapped = None, -1
+    while True:
+        chosen = _hinted() if modes is None else F.coalesce(_hinted(), F.when(F.size("likely") == 1, F.get("likely", F.lit(0))))
+        known = (rows if modes is None else _with_modes(rows, modes)).withColumn("chosen", chosen).where("chosen is not null")
+        hubs = materialise(_hubs(sure.unionByName(_centres(known, F.lit(2)))), "hubs")
+        graph = materialise(source_graph(_linked(rows, hubs)), "graph")
+        modes = materialise(_modes(graph), "modes")
+        found = modes.agg(F.sum(F.size("modes"))).collect()[0][0] or 0
+        if found <= snapped:
+            return rows, hubs, graph
+        snapped = found
+
+
+def common_units(obs: DataFrame, where: DataFrame) -> DataFrame:
+    """``record_id, field, unit, recip, pm1, pm2`` of every observation; ``where`` has the ``format`` and ``site`` of each ``slide_id``."""
+    obs = _kept_observations(obs)
+    rows, hubs, graph = spread_knowledge(obs, where)
+    likely = F.get("likely", F.lit(0))
+    pick = F.coalesce(_hinted(), F.when(F.col("how").startswith("?"), likely), _off().choice, likely, F.get("open", F.lit(0)))
+    told = _with_modes(_linked(rows, hubs), materialise(_modes(graph), "modes")).withColumn("chosen", pick)
+    picked = told.select("record_id", "field", "chosen").unionByName(obs.where(F.size("open") == 1).select("record_id", "field", F.get("open", F.lit(0)).alias("chosen")))
     return picked.select("record_id", "field", "chosen.unit", "chosen.recip", "chosen.pm1", "chosen.pm2")
 
 
 def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source graph: every way of naming a unit that leaves several conversions open, and what its links say."""
-    return spread_knowledge(_kept_observations(observations(spark, sf_dir)))[1]
+    """The source graph: every pair of sources and conversion that values with several open ones link, and what the links say."""
+    return spread_knowledge(_kept_observations(observations(spark, sf_dir)), places(spark, sf_dir))[2]
 
 
 def units_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every readable positive value whose number isn't in the common unit of its field, in picometres."""
-    values = common_units(observations(spark, sf_dir))
+    values = common_units(observations(spark, sf_dir), places(spark, sf_dir))
     common = F.element_at(F.create_map(*[F.lit(x) for k, v in FIELDS.items() for x in (k, v[0])]), F.col("field"))
     other = values.where((F.col("unit") != common) | F.col("recip"))
     first = F.when(F.col("field") == "mpp", "xy").otherwise("x")

@@ -11,6 +11,8 @@ def make_found(spark, tmp_path):
     def run(meta, leica=()):
         spark.createDataFrame([(i, s, *r, "extra") for i, (s, *r) in enumerate(meta, 1)], META).write.mode("overwrite").parquet(f"{tmp_path}/slide_metadata.parquet")
         spark.createDataFrame(list(leica), LEICA).write.mode("overwrite").parquet(f"{tmp_path}/leica_images.parquet")
+        slides = [(s, "ndpi" if s < 1000 else "svs", s % 3) for s in {m[0] for m in meta} | {i[1] for i in leica}]
+        spark.createDataFrame(slides, "slide_id bigint, format string, site_id int").write.mode("overwrite").parquet(f"{tmp_path}/slides.parquet")
         return sorted(tuple(r) for r in cu.units_found(spark, str(tmp_path)).collect())
 
     return run
@@ -79,5 +81,15 @@ def test_knowledge_spreads_along_a_chain(found):
         assert u == "um" or abs(got[n] - 1e9 / float(v)) < 1
 
 
+def test_a_source_may_mix_conversions(found):
+    """Bare numbers of one format and site, some per cm, some per inch: both snap; a lone number takes the commoner one that is open."""
+    spacing = [(i, None, None, f"{s:.6f}\\{s:.6f}", None) for i, s in ((i, (0.5 + i / 100) / 1000) for i in range(20))]
+    bare = [(i, f"{10000 / (0.5 + i / 100):.5f}" if i < 13 else f"{25400 / (0.5 + i / 100):.5f}", None, None, None) for i in range(20)]
+    lone = [(500, "40000.5", None, None, None), (1500, "40000.5", None, None, None)]
+    got = {r[0]: r[3] for r in found([*bare, *lone, *spacing]) if r[1] == "mpp"}
+    assert all(abs(got[i + 1] - (500000 + 10000 * i)) < 5 for i in range(20))
+    assert got[21] == got[22] == round(1e10 / 40000.5)  # the second by its field, as its own format never says
+
+
 def test_empty(found):
     assert found([]) == []
