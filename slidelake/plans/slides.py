@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slidelake.functions.formats import detect, ndpi_role, role
+from slidelake.functions.formats import all_jpeg, detect, ndpi_role, role
 from slidelake.functions.metadata import metadata
 from slidelake.operators.tiles import with_tiled_size
 from slidelake.sources.wsi import register
@@ -23,12 +23,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def slides(pages: DataFrame) -> DataFrame:
     """One row per file: format (null if not recognised) and metadata in the common schema; bounded state per file, no sort."""
     first = F.struct("description", "software", "make", "model", "tags", "is_tiled", "icc_profile", "x_resolution", "y_resolution", "resolution_unit")
+    xmp = F.element_at("tags", F.lit(700))
     per = pages.groupBy("path").agg(
         F.max("length").alias("length"), F.max("error").alias("error"), F.max("pages").alias("pages"), F.min_by(first, "page_idx").alias("f"),
-        F.bool_and(F.col("compression").isin("JPEG", "JPEGXR_NDPI")).alias("all_jpeg"),
+        all_jpeg().alias("all_jpeg"), F.min_by(xmp, F.when(F.contains(xmp, F.lit("<iScan")), F.col("page_idx"))).alias("xmp"),
     )
     f = lambda n: F.col(f"f.{n}")
-    tags = F.coalesce(f("tags"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")))
+    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))
+    # scan metadata count wherever in the file they are
+    own = F.when(F.col("xmp").isNotNull(), F.create_map(F.lit(700), F.col("xmp"))).otherwise(none)
+    tags = F.map_concat(F.map_filter(F.coalesce(f("tags"), none), lambda k, _: (k != 700) | F.col("xmp").isNull()), own)
     fmt = detect(f("description"), f("software"), tags, F.coalesce(f("is_tiled"), F.lit(False)), F.coalesce("all_jpeg", F.lit(False)))
     known = per.withColumn("format", fmt)
     meta = metadata(F.col("format"), f("description"), f("software"), f("make"), f("model"), tags, f("x_resolution"), f("y_resolution"), f("resolution_unit"))
@@ -47,7 +51,9 @@ def images(pages: DataFrame, slide_rows: DataFrame) -> DataFrame:
     """Every page of a recognised file with its role and reading strategy."""
     fmt = slide_rows.where("format is not null").select("path", "format", F.col("metadata.mpp_x").alias("base_mpp_x"), F.col("metadata.mpp_y").alias("base_mpp_y"))
     known = pages.join(fmt, "path")
-    own = role(F.col("format"), F.coalesce("description", F.lit("")), F.col("page_idx"), F.col("pages"), F.coalesce("subfile", F.lit(0)))
+    own = role(F.col("format"), F.coalesce("description", F.lit("")), F.col("page_idx"), F.col("pages"), F.coalesce("subfile", F.lit(0)), F.col("is_tiled"))
+    # a page's part in another directory is a level of what that page is
+    own = F.when(F.col("parent").isNotNull(), F.when(F.col("is_tiled"), F.lit("level"))).otherwise(own)
     # reduced images behind the first page are levels unless their own text says otherwise
     later = F.when(F.col("is_tiled") & F.col("format").isin("svs", "philips", "3dhistech", "huron", "mikroscan", "motic", "leica-scn"), F.coalesce(own, F.lit("level")))
     by_lens = F.when(F.col("format") == "ndpi", ndpi_role(F.element_at("tags", F.lit(65421))))
@@ -64,6 +70,7 @@ def levels(image_rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
         "path", "format", "page_idx", "strategy", F.col("width").alias("image_w"), F.col("height").alias("image_h"), "tile_w", "tile_h", "compression", "base_mpp_x", "base_mpp_y",
         (F.aggregate("bytecounts", F.lit(0).cast("bigint"), lambda a, n: a + n) + F.size("offsets") * F.coalesce(F.length("jpeg_tables"), F.lit(0))).alias("compressed_size"),
         F.size("offsets").alias("frames"), F.size(F.filter("bytecounts", lambda n: n == 0)).alias("missing"),
+        "offsets", "bytecounts", "jpeg_tables", "header", "photometric", "bits", "samples",
     )
     file, size = Window.partitionBy("path"), ["path", "image_w", "image_h"]
     ordered = sized.withColumn("level_idx", F.dense_rank().over(file.orderBy(F.desc("image_w"), F.desc("image_h"))) - 1)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
+from slidelake.functions.codestream import DRI, mcu_size, segments, with_header
+
 #: Bytes and struct codes of the field types.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 #: Names of compressions and colour models.
@@ -30,6 +32,9 @@ class Page:
 
     index: int
     tags: dict[int, object] = field(default_factory=dict)
+    parent: int | None = None
+    header: bytes | None = None
+    stripes: tuple[int, int, list[int], list[int]] | None = None
 
     def _one(self, tag: int, default=None):
         v = self.tags.get(tag, default)
@@ -62,12 +67,37 @@ class Page:
             "x_resolution": ratio(282), "y_resolution": ratio(283), "resolution_unit": self._one(296, 2),
             "jpeg_tables": jpegtables if isinstance(jpegtables, bytes) else None, "icc_profile": icc if isinstance(icc, bytes) else None,
             "tags": {t: self.text(t) for t in self.tags if t >= 65000 or t in (306, 700)},
-            "offsets": self._all(324 if tiled else 273), "bytecounts": self._all(325 if tiled else 279),
+            "offsets": self._all(324 if tiled else 273), "bytecounts": self._all(325 if tiled else 279), "parent": self.parent, "header": self.header,
+            **self._striped(),
         }
 
+    def _striped(self) -> dict:
+        """A page whose one JPEG is parted by restart markers: its stripes are its frames."""
+        if self.stripes is None:
+            return {}
+        width, height, offsets, sizes = self.stripes
+        return {"is_tiled": True, "tile_w": width, "tile_h": height, "offsets": offsets, "bytecounts": sizes}
+
+    def find_stripes(self, f: BinaryIO) -> None:
+        """Stripes of a JPEG whose restart intervals are listed (tag 65426, high halves in 65432): header, size and places of each."""
+        starts, high = self._all(65426), self._all(65432) if 65432 in self.tags else []
+        offsets, sizes = self._all(273), self._all(279)
+        if not starts or not starts[0] or self._one(259, 1) not in (6, 7) or len(offsets) != 1 or not sizes:
+            return
+        starts = [s + (h << 32) for s, h in zip(starts, high or [0] * len(starts))]
+        f.seek(offsets[0])
+        head = f.read(starts[0])
+        unit, interval = mcu_size(head), next((s for s in segments(head) if s.marker == DRI), None)
+        if unit is None or interval is None:
+            return
+        (units,) = struct.unpack_from(">H", head, interval.body)
+        if units:
+            self.header = with_header(head, units * unit[0], unit[1])
+            self.stripes = units * unit[0], unit[1], [offsets[0] + s for s in starts], [b - a for a, b in zip(starts, [*starts[1:], sizes[0]])]
+
 
 def read_pages(f: BinaryIO) -> list[Page]:
-    """All directories of a file in order; a directory met twice ends the chain."""
+    """All directories of a file: the chain in order, behind it those that pages name as parts of theirs; a directory met twice counts once."""
     head = f.read(16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
     if order is None or len(head) < 8:
@@ -79,43 +109,58 @@ def read_pages(f: BinaryIO) -> list[Page]:
         big, (at,) = True, struct.unpack_from(order + "Q", head, 8)
     else:
         raise TiffError(f"TIFF version {version}")
-    count_code, entry, next_code, inline = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
-    pages, seen = [], set()
     size = f.seek(0, os.SEEK_END)
+    pages, seen = [], set()
     while at and at not in seen:
         seen.add(at)
-        f.seek(at)
-        raw = f.read(struct.calcsize(order + count_code))
-        if len(raw) < struct.calcsize(order + count_code):
-            raise TiffError("cut off directory")
-        (n,) = struct.unpack(order + count_code, raw)
-        body = f.read(n * entry + struct.calcsize(order + next_code))
-        if len(body) < n * entry:
-            raise TiffError("cut off directory")
-        page = Page(len(pages))
-        for i in range(n):
-            tag, kind = struct.unpack_from(order + "HH", body, i * entry)
-            (count,) = struct.unpack_from(order + ("Q" if big else "I"), body, i * entry + 4)
-            code = TYPES.get(kind)
-            if code is None:
-                continue
-            length = struct.calcsize("=" + code) * count
-            place = i * entry + (12 if big else 8)
-            if length <= inline:
-                value = body[place : place + length]
-            else:
-                (where,) = struct.unpack_from(order + next_code, body, place)
-                if where + length > size:
-                    continue
-                f.seek(where)
-                value = f.read(length)
-            page.tags[tag] = value if code == "s" else struct.unpack(order + code * count, value)
-        pages.append(page)
-        tail = body[n * entry :]
-        at = struct.unpack(order + next_code, tail)[0] if len(tail) == struct.calcsize(order + next_code) else 0
+        tags, at = _directory(f, at, order, big, size)
+        pages.append(Page(len(pages), tags))
+    waiting = [(p.index, a) for p in pages for a in p._all(330)] if pages else []
+    for parent, at in waiting:
+        if at and at not in seen:
+            seen.add(at)
+            tags, _ = _directory(f, at, order, big, size)
+            pages.append(Page(len(pages), tags, parent))
+            waiting += [(pages[-1].index, a) for a in pages[-1]._all(330)]
+    for page in pages:
+        if 65426 in page.tags:
+            page.find_stripes(f)
     return pages
 
 
+def _directory(f: BinaryIO, at: int, order: str, big: bool, size: int) -> tuple[dict[int, object], int]:
+    """Tags of the directory at an offset, and the offset of the next one (0 if there is none)."""
+    count_code, entry, next_code, inline = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
+    f.seek(at)
+    raw = f.read(struct.calcsize(order + count_code))
+    if len(raw) < struct.calcsize(order + count_code):
+        raise TiffError("cut off directory")
+    (n,) = struct.unpack(order + count_code, raw)
+    body = f.read(n * entry + struct.calcsize(order + next_code))
+    if len(body) < n * entry:
+        raise TiffError("cut off directory")
+    tags: dict[int, object] = {}
+    for i in range(n):
+        tag, kind = struct.unpack_from(order + "HH", body, i * entry)
+        (count,) = struct.unpack_from(order + ("Q" if big else "I"), body, i * entry + 4)
+        code = TYPES.get(kind)
+        if code is None:
+            continue
+        length = struct.calcsize("=" + code) * count
+        place = i * entry + (12 if big else 8)
+        if length <= inline:
+            value = body[place : place + length]
+        else:
+            (where,) = struct.unpack_from(order + next_code, body, place)
+            if where + length > size:
+                continue
+            f.seek(where)
+            value = f.read(length)
+        tags[tag] = value if code == "s" else struct.unpack(order + code * count, value)
+    tail = body[n * entry :]
+    return tags, struct.unpack(order + next_code, tail)[0] if len(tail) == struct.calcsize(order + next_code) else 0
+
+
 def runs(ranges: Sequence[tuple[int, int]], most: int = MAX_RUN) -> list[tuple[int, int, list[int]]]:
     """Ranges that touch, joined: ``(start, length, positions of the ranges in it)``; empty ranges are in none."""
     out: list[tuple[int, int, list[int]]] = []
