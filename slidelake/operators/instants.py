@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidelake.common import blank, materialise, salted_join, shared_dir, table
+from slidelake.common import blank, materialise, shared_dir, table
 
 #: Order of an all-numeric date in the formats that write one (slashes, or dots for argos).
 DATE_ORDER = {"svs": "mdy", "mikroscan": "mdy", "argos": "mdy", "3dhistech": "dmy"}
@@ -171,7 +171,8 @@ def normalise_instants(rows: DataFrame, raw: str, fmt: str, tz: str, dictionary:
     """``rows`` with ``utc_us``; ``raw``, ``fmt`` and ``tz`` name the columns of text, source format and IANA zone.
 
     The dictionary is kept at ``dictionary``, else in the shared folder under the number of the parsing rules, so that every value
-    is parsed once for all runs. A text that a third of the rows hold is one entry, joined back with salt.
+    is parsed once for all runs. The dictionary may be as long as the rows, so it is not repeated for salts: a text that a third
+    of the rows hold is one entry, and adaptive execution splits the rows that meet it.
     """
     text, zone = F.col(f"`{raw}`"), F.coalesce(F.col(f"`{tz}`"), F.lit(""))
     rows = rows.drop("utc_us")
@@ -180,7 +181,7 @@ def normalise_instants(rows: DataFrame, raw: str, fmt: str, tz: str, dictionary:
     keys = keyed.where(~blank(F.col("__raw"))).select(F.col("__raw").alias("raw"), F.col("__order").alias("date_order"), F.col("__tz").alias("tz"))
     parsed = extend_dictionary(keys, dictionary or f"{shared_dir(rows.sparkSession)}/instants-rules-{RULES}")
     entries = parsed.where("utc_us is not null").withColumnsRenamed({"raw": "__raw", "date_order": "__order", "tz": "__tz"})
-    return salted_join(keyed, entries, ["__raw", "__order", "__tz"]).select(*rows.columns, "utc_us")
+    return keyed.join(entries, ["__raw", "__order", "__tz"], "left").select(*rows.columns, "utc_us")
 
 
 def site_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
