@@ -165,3 +165,50 @@ def last_placement(placements: DataFrame, cell: list[str], area: str) -> DataFra
     return placements.withColumn("_n", latest).where("_n = 1").drop("_n")
 
 
+def parent_levels(levels: DataFrame, slide: str, order: str, *columns: str) -> DataFrame:
+    """``parent_…`` columns: what the next finer level of each level has; null for the finest."""
+    finer = Window.partitionBy(slide).orderBy(order)
+    return levels.withColumns({f"parent_{c}": F.lag(c).over(finer) for c in columns})
+
+
+def edge_frame(stripes: Column, per_frame: int, size: int) -> Column:
+    """Pixels of the last frame along an axis, where fewer stripes may be left than a whole frame takes."""
+    return F.when(stripes % per_frame != 0, stripes % per_frame * size).otherwise(F.lit(per_frame * size))
+
+
+def one_frame(image: Column, tile: int) -> Column:
+    """Pixels read for a level that is one frame: the image and what is left to the next whole tile, or one tile more."""
+    return ((F.floor(image / tile) + 1) * tile).cast("int")
+
+
+def restart_markers(fragments: DataFrame, image: str, order: str) -> DataFrame:
+    """``marker``: the restart marker behind each fragment of an image, counted modulo 8."""
+    return fragments.withColumn("marker", (0xD0 + (F.row_number().over(Window.partitionBy(image).orderBy(order)) - 1) % 8))
+
+
+def smallest_stripe(pages: DataFrame, file: str, tiled: Column, width: Column) -> DataFrame:
+    """``stripe``: width of the smallest stripe of each file's striped pages; null if none is."""
+    return pages.groupBy(file).agg(F.min(F.when(tiled, width)).alias("stripe"))
+
+
+def regular_places(tiles: DataFrame, overlap_x: Column, overlap_y: Column) -> DataFrame:
+    """``place_x, place_y`` of enumerated tiles that overlap by a fixed number of pixels, and ``composed_w, composed_h`` of the image."""
+    place = lambda at, tile, overlap: F.col(at) * (F.col(tile) - overlap)
+    whole = lambda n, tile, overlap: F.col(n) * F.col(tile) - (F.col(n) - 1) * overlap
+    return tiles.withColumns({
+        "place_x": place("x", "tile_w", overlap_x), "place_y": place("y", "tile_h", overlap_y),
+        "composed_w": whole("tiled_w", "tile_w", overlap_x), "composed_h": whole("tiled_h", "tile_h", overlap_y),
+    })
+
+
+def main_image(images: DataFrame, slide: str, macro: Column, width: str, order: str, column: str) -> DataFrame:
+    """``column`` of each slide's main image: the widest that isn't the macro image, the first of equally wide ones; the macro if there is no other."""
+    rank = F.struct(F.when(macro, 0).otherwise(1), F.coalesce(width, F.lit(0)), -F.col(order))
+    return images.groupBy(slide).agg(F.max_by(column, rank).alias(column))
+
+
+def place_on_canvas(tiles: DataFrame, canvas: list[Column], at: str, size: int) -> DataFrame:
+    """``pos``: places shifted so that each canvas begins at 0, and ``canvas``, its extent."""
+    over = Window.partitionBy(*canvas)
+    low = F.min(at).over(over)
+    return tiles.withColumns({"pos": F.col(at) - low, "canvas": F.max(F.col(at) + size).over(over) - low})

@@ -6,7 +6,7 @@ from slidelake.operators.common_units import source_report, units_found
 from slidelake.operators.instants import instants_found
 from slidelake.operators.packed_values import packed_found
 from slidelake.operators.schema_drift import changes_found, records_table
-from slidelake.plans import codestream_queries, text_queries, tile_queries
+from slidelake.plans import codestream_queries, serve_queries, text_queries, tile_queries
 
 FLAGSHIP = "contiguous_runs"
 
@@ -20,6 +20,7 @@ QUERIES = {
     **tile_queries.registry.queries,
     **text_queries.registry.queries,
     **codestream_queries.registry.queries,
+    **serve_queries.registry.queries,
 }
 
-ORACLE: dict[str, str] = {**tile_queries.registry.oracle, **text_queries.registry.oracle, **codestream_queries.registry.oracle}
+ORACLE: dict[str, str] = {**tile_queries.registry.oracle, **text_queries.registry.oracle, **codestream_queries.registry.oracle, **serve_queries.registry.oracle}

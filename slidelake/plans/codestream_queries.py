@@ -73,10 +73,9 @@ def jpeg2000_info(spark, d):
     """SELECT p_partkey, 'FFD8' || repeat(lpad(to_hex(p_size), 2, '0'), 3) || 'DD' || lpad(to_hex(p_partkey % 256), 2, '0') || 'FFD9' AS whole FROM part""",
 )
 def jpeg_prefix(spark, d):
-    """Abbreviated tiles made whole with their page's tables, by built-in functions on bytes alone."""
+    """Abbreviated tiles made whole with their page's tables."""
     p = table(spark, d, "part").select("p_partkey", F.unhex(F.concat(F.lit("FFD8"), F.repeat(_hex(F.col("p_size"), 2), 3), F.lit("FFD9"))).alias("tables"), F.unhex(F.concat(F.lit("FFD8DD"), _hex(F.col("p_partkey") % 256, 2), F.lit("FFD9"))).alias("tile"))
-    prefix = F.substring("tables", 1, 5)
-    return p.select("p_partkey", F.hex(F.concat(prefix, F.expr("substring(tile, 3)"))).alias("whole"))
+    return p.select("p_partkey", F.hex(c.complete_tile_udf("tile", "tables", F.lit(False))).alias("whole"))
 
 
 @q("jpeg_tiles", "SELECT vec_id, 8 AS width, 8 AS height, true AS close, true AS same_after_crop FROM embeddings")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slidelake.common import table
 from slidelake.functions import formats as f
 from slidelake.functions import text as x
+from slidelake.operators import tiles as t
 from slidelake.plans.registry import Registry
 
 registry = Registry()
@@ -227,19 +228,19 @@ def serial_suffix(spark, d):
     return m.select("p_partkey", hit.alias("e")).select("p_partkey", F.btrim(F.regexp_replace("e.key", "SERIAL #$", "")).alias("model"), F.col("e.value").alias("serial"))
 
 
-_SERIES = """(SELECT image_id, slide_id, image_idx, CASE WHEN image_idx = 0 THEN 'h' || chr(10) || 'macro 1x1' WHEN image_idx = 1 THEN 'h' WHEN image_idx = 2 THEN 'h' || chr(10) || 'label 2x2' WHEN image_idx = 3 THEN 'h' || chr(10) || '9x9 -> 3x3' ELSE '' END AS description FROM leica_images)"""
+_SERIES = """(SELECT image_id, slide_id, image_idx, CASE WHEN image_idx = 0 THEN 'h' || chr(10) || 'macro 1x1' WHEN image_idx = 1 THEN 'h' WHEN image_idx = 2 THEN 'h' || chr(10) || 'label 2x2' WHEN image_idx IN (3, 4) THEN 'h' || chr(10) || '9x9 -> 3x3' ELSE '' END AS description FROM leica_images)"""
 
 
 @q(
     "series_classify",
     f"""SELECT slide_id, max(image_idx) FILTER (WHERE role = 'level') AS level_idx, max(image_idx) FILTER (WHERE role = 'label') AS label_idx, max(image_idx) FILTER (WHERE role = 'overview') AS overview_idx, max(image_idx) FILTER (WHERE role = 'thumbnail') AS thumbnail_idx
-    FROM (SELECT *, CASE WHEN starts_with(split_part(description, chr(10), 2), 'label') THEN 'label' WHEN starts_with(split_part(description, chr(10), 2), 'macro') THEN 'overview' WHEN contains(split_part(description, chr(10), 2), '->') THEN 'thumbnail' ELSE 'level' END AS role FROM {_SERIES}) GROUP BY slide_id""",
+    FROM (SELECT *, CASE WHEN starts_with(split_part(description, chr(10), 2), 'label') THEN 'label' WHEN starts_with(split_part(description, chr(10), 2), 'macro') THEN 'overview' WHEN contains(split_part(description, chr(10), 2), '->') AND image_idx <> 4 THEN 'thumbnail' ELSE 'level' END AS role FROM {_SERIES}) GROUP BY slide_id""",
 )
 def series_classify(spark, d):
-    """Place of the last image of each role."""
+    """Place of the last image of each role; a tiled page with an arrow in its text is a level, one that isn't tiled a thumbnail."""
     i = F.col("image_idx")
-    text = F.when(i == 0, "h\nmacro 1x1").when(i == 1, "h").when(i == 2, "h\nlabel 2x2").when(i == 3, "h\n9x9 -> 3x3").otherwise("")
-    r = table(spark, d, "leica_images").select("slide_id", "image_idx", f.role(F.lit("svs"), text, i + 1, F.lit(9), F.lit(0)).alias("role"))
+    text = F.when(i == 0, "h\nmacro 1x1").when(i == 1, "h").when(i == 2, "h\nlabel 2x2").when(i.isin(3, 4), "h\n9x9 -> 3x3").otherwise("")
+    r = table(spark, d, "leica_images").select("slide_id", "image_idx", f.role(F.lit("svs"), text, i + 1, F.lit(9), F.lit(0), i == 4).alias("role"))
     last = lambda n: F.max(F.when(F.col("role") == n, F.col("image_idx"))).alias(f"{n}_idx")
     return r.groupBy("slide_id").agg(*[last(n) for n in ("level", "label", "overview", "thumbnail")])
 
@@ -263,8 +264,7 @@ def format_detect(spark, d):
 def main_image(spark, d):
     """Widest image that isn't the macro image, the first of equally wide ones; the macro if there is no other."""
     i = table(spark, d, "leica_images")
-    rank = F.struct(F.when(F.col("image_idx") == 0, 0).otherwise(1), F.coalesce("pixel_size_x", F.lit(0)), -F.col("image_idx"))
-    return i.groupBy("slide_id").agg(F.max_by("image_name", rank).alias("main_image"))
+    return t.main_image(i, "slide_id", F.col("image_idx") == 0, "pixel_size_x", "image_idx", "image_name").withColumnRenamed("image_name", "main_image")
 
 
 @q(
@@ -275,8 +275,7 @@ def main_image(spark, d):
 def roi_pyramids(spark, d):
     """Further regions of a slide with their position in mm."""
     i = table(spark, d, "leica_images")
-    rank = F.struct(F.when(F.col("image_idx") == 0, 0).otherwise(1), F.coalesce("pixel_size_x", F.lit(0)), -F.col("image_idx"))
-    main = i.groupBy("slide_id").agg(F.max_by("image_id", rank).alias("image_id")).select("image_id")
+    main = t.main_image(i, "slide_id", F.col("image_idx") == 0, "pixel_size_x", "image_idx", "image_id").select("image_id")
     return i.where("image_idx <> 0").join(main, "image_id", "left_anti").select("slide_id", "image_id", (F.col("view_offset_x") / 1e6).alias("x_mm"), (F.col("view_offset_y") / 1e6).alias("y_mm"))
 
 
@@ -317,8 +316,7 @@ def resolution_mpp(spark, d):
 @q("overlap_list", "SELECT p_partkey, coalesce(TRY_CAST(list_extract(string_split('64 32 ' || p_size, ' '), 2 * (p_partkey % 3) + 1) AS INT), 0) AS overlap_x FROM part")
 def overlap_list(spark, d):
     """Overlap of a level in a list of pairs; 0 for levels that it doesn't reach."""
-    parts = F.split(F.concat(F.lit("64 32 "), "p_size"), " ")
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(parts, (2 * (F.col("p_partkey") % 3) + 1).cast("int")).try_cast("int"), F.lit(0)).alias("overlap_x"))
+    return table(spark, d, "part").select("p_partkey", f.level_overlap(F.concat(F.lit("64 32 "), "p_size"), F.col("p_partkey") % 3).x.alias("overlap_x"))
 
 
 @q("pixelsize_text", "SELECT p_partkey, p_size / 1000 AS x, CAST(p_size + 1 AS DOUBLE) / 1000 AS y FROM part")

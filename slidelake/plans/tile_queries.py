@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slidelake.common import table
+from slidelake.functions import formats as f
 from slidelake.functions import geometry as g
 from slidelake.operators import tiles as t
 from slidelake.plans.registry import Registry
@@ -18,8 +19,9 @@ LEVELS = "(SELECT DISTINCT * FROM levels)"
 
 def levels(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Levels without their repeated rows."""
-    df = table(spark, d, "levels").distinct()
-    return df.select(*columns) if columns else df
+    df = table(spark, d, "levels")
+    # repeated rows are equal in every column, so those asked for, the key among them, tell levels apart as well
+    return (df.select(*columns) if columns else df).distinct()
 
 
 @q(
@@ -218,10 +220,12 @@ def stored_tiles(spark: SparkSession, d: str) -> DataFrame:
     FROM {PART_GRID} g LEFT JOIN (SELECT p_partkey, x, y, max(n) AS n FROM {_STORED} GROUP BY ALL) s ON g.p_partkey = s.p_partkey AND g.x = s.x AND g.y = s.y GROUP BY g.p_partkey""",
 )
 def sparse_fill(spark, d):
-    """Stored and blank tiles of every image."""
-    full = t.enumerate_tiles(part_levels(spark, d)).select("p_partkey", "x", "y")
-    f = t.fill_sparse(full, stored_tiles(spark, d), ["p_partkey", "x", "y"])
-    return f.groupBy("p_partkey").agg(F.count("*").alias("tiles"), F.count_if(F.col("status") == "stored").alias("stored"), F.count_if(F.col("status") == "blank").alias("blank"))
+    """Stored and blank tiles of every image: those stored inside the grid, and the rest of it."""
+    sized = t.with_tiled_size(part_levels(spark, d)).select("p_partkey", "tiled_w", "tiled_h", "tiles")
+    held = stored_tiles(spark, d).where("bytecount > 0").join(sized, "p_partkey").where("x >= 0 and y >= 0 and x < tiled_w and y < tiled_h")
+    counts = held.groupBy("p_partkey").agg(F.count("*").alias("stored"))
+    n = F.coalesce("stored", F.lit(0))
+    return sized.join(counts, "p_partkey", "left").where("tiles > 0").select("p_partkey", "tiles", n.alias("stored"), (F.col("tiles") - n).alias("blank"))
 
 
 @q(
@@ -254,7 +258,7 @@ def corrupt_edges(spark, d):
 def parent_block(spark, d):
     """Tiles of the finer level under each tile."""
     li = table(spark, d, "lineitem").select((F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 30).alias("y"), F.when(F.col("l_linenumber") > 4, 4).otherwise(2).alias("f"))
-    return t.parent_block(li, F.col("f")).groupBy("x", "y", "f", "parent_x", "parent_y").agg(F.count("*").alias("n"))
+    return t.parent_block(li.groupBy("x", "y", "f").agg(F.count("*").alias("n")), F.col("f")).select("x", "y", "f", "parent_x", "parent_y", "n")
 
 
 @q(
@@ -263,8 +267,8 @@ def parent_block(spark, d):
 )
 def parent_chain(spark, d):
     """The next finer level of each."""
-    w = Window.partitionBy("slide_id").orderBy("level_idx")
-    return levels(spark, d).select("slide_id", "level_idx", F.lag("level_idx").over(w).alias("parent_level"), F.lag("image_w").over(w).cast("bigint").alias("parent_w"))
+    p = t.parent_levels(levels(spark, d, "slide_id", "level_idx", "image_w"), "slide_id", "level_idx", "level_idx", "image_w")
+    return p.select("slide_id", "level_idx", F.col("parent_level_idx").alias("parent_level"), F.col("parent_image_w").cast("bigint").alias("parent_w"))
 
 
 @q(
@@ -328,7 +332,7 @@ def adjust_tile_size(spark, d):
 @q("smallest_stripe", "SELECT p_brand, min(p_size * 8) FILTER (WHERE p_type <> 'ECONOMY') AS stripe FROM part GROUP BY p_brand")
 def smallest_stripe(spark, d):
     """Smallest stripe over the tiled pages; null if none is tiled."""
-    return table(spark, d, "part").groupBy("p_brand").agg(F.min(F.when(F.col("p_type") != "ECONOMY", F.col("p_size") * 8)).alias("stripe"))
+    return t.smallest_stripe(table(spark, d, "part"), "p_brand", F.col("p_type") != "ECONOMY", F.col("p_size") * 8)
 
 
 _REQUESTS = """(SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS request,
@@ -382,9 +386,7 @@ def stripe_union(spark, d):
 def partial_frames(spark, d):
     """Frame sizes at the right and bottom edge, where fewer stripes are left than a tile takes."""
     p = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_size") % 9 + 1).alias("sw"), (F.col("p_size") * 3).alias("sh"))
-    edge = lambda n, per, size: F.when(F.col(n) % per != 0, F.col(n) % per * size).otherwise(F.lit(per * size))
-    one = ((F.floor(F.col("p_size") * 100 / 512) + 1) * 512).cast("int")
-    return p.select("p_partkey", edge("sw", 4, 2048).alias("last_frame_w"), edge("sh", 64, 8).alias("last_frame_h"), one.alias("one_frame_w"))
+    return p.select("p_partkey", t.edge_frame(F.col("sw"), 4, 2048).alias("last_frame_w"), t.edge_frame(F.col("sh"), 64, 8).alias("last_frame_h"), t.one_frame(F.col("p_size") * 100, 512).alias("one_frame_w"))
 
 
 @q(
@@ -394,12 +396,8 @@ def partial_frames(spark, d):
 )
 def regular_overlap(spark, d):
     """Places of tiles that overlap by a fixed number of pixels, and the size of the composed image."""
-    e = t.enumerate_tiles(part_levels(spark, d))
-    ox, oy = F.col("p_partkey") % 33, F.col("p_partkey") % 17
-    return e.select(
-        "p_partkey", "x", "y", (F.col("x") * (F.col("tile_w") - ox)).alias("place_x"), (F.col("y") * (F.col("tile_h") - oy)).alias("place_y"),
-        (F.col("tiled_w") * F.col("tile_w") - (F.col("tiled_w") - 1) * ox).alias("composed_w"), (F.col("tiled_h") * F.col("tile_h") - (F.col("tiled_h") - 1) * oy).alias("composed_h"),
-    )
+    placed = t.regular_places(t.enumerate_tiles(part_levels(spark, d)), F.col("p_partkey") % 33, F.col("p_partkey") % 17)
+    return placed.select("p_partkey", "x", "y", "place_x", "place_y", "composed_w", "composed_h")
 
 
 @q(
@@ -437,8 +435,7 @@ def area_positions(spark, d):
     """Running positions of an area's tiles, shifted by its origin onto the canvas of its slide."""
     o = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("area"), F.col("l_linenumber").alias("i")).agg(F.rint(F.avg("l_quantity")).cast("bigint").alias("overlap"))
     p = t.positions_along(o.withColumn("step", 512 - F.col("overlap")), ["area"], "i", "step").withColumn("at", F.col("position") + F.col("area") % 10 * 1000)
-    box = p.groupBy((F.col("area") % 4).alias("slide")).agg(F.min("at").alias("low"), F.max(F.col("at") + 512).alias("high"))
-    return p.join(box, F.col("area") % 4 == F.col("slide")).select("area", "i", (F.col("at") - F.col("low")).alias("pos"), (F.col("high") - F.col("low")).alias("canvas"))
+    return t.place_on_canvas(p, [F.col("area") % 4], "at", 512).select("area", "i", "pos", "canvas")
 
 
 @q(
@@ -472,14 +469,13 @@ def scanned_areas(spark, d):
 def last_placement(spark, d):
     """Of several areas on one cell of the canvas the last."""
     p = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("cx"), (F.col("l_suppkey") % 20).alias("cy"), F.col("l_orderkey").alias("area"))
-    return p.groupBy("cx", "cy").agg(F.max("area").alias("area"))
+    return t.last_placement(p, ["cx", "cy"], "area")
 
 
 @q("restart_markers", "SELECT slide_id, level_idx, CAST(208 + (row_number() OVER (PARTITION BY slide_id ORDER BY level_idx) - 1) % 8 AS INT) AS marker FROM (SELECT DISTINCT * FROM levels)")
 def restart_markers(spark, d):
     """Restart marker behind each fragment, counted modulo 8."""
-    w = Window.partitionBy("slide_id").orderBy("level_idx")
-    return levels(spark, d).select("slide_id", "level_idx", (208 + (F.row_number().over(w) - 1) % 8).alias("marker"))
+    return t.restart_markers(levels(spark, d, "slide_id", "level_idx"), "slide_id", "level_idx").select("slide_id", "level_idx", "marker")
 
 
 @q(
@@ -504,9 +500,8 @@ def focal_plane(spark, d):
     s = table(spark, d, "slides").select("slide_id", "format")
     lv = table(spark, d, "levels").select("slide_id", "level_idx").distinct().join(s, "slide_id")
     fmt, i = F.col("format"), F.col("level_idx")
-    plane = F.when(fmt == "ndpi", i * 1200 / 1000).when(fmt == "argos", (i - 2.0) * 8.0).when(fmt == "ome-tiff", i * 2.0).otherwise(0.0)
-    path = F.when(fmt == "ome-tiff", i.cast("string")).when(fmt == "qptiff", (i + 1).cast("string")).otherwise("1")
-    return lv.select("slide_id", "level_idx", plane.alias("focal_plane"), path.alias("optical_path"))
+    plane = f.focal_plane(fmt, i, i * 1200, F.lit(None).cast("double"), F.lit(-2.0), F.when(fmt == "argos", 8.0).otherwise(2.0))
+    return lv.select("slide_id", "level_idx", plane.alias("focal_plane"), f.optical_path(fmt, i, i, F.lit(None).cast("string")).alias("optical_path"))
 
 
 @q(
@@ -518,26 +513,27 @@ def image_crops(spark, d):
     """Size of the label cut out of the overview: left of ndpi, right of argos, bottom tile rows of leica."""
     s = table(spark, d, "slides").select("slide_id", "format")
     lv = levels(spark, d, "slide_id", "level_idx", "image_w", "image_h", "tile_h").join(s, "slide_id")
-    mcu = lambda part: (F.col("image_w") * part / 16).cast("bigint") * 16
-    width = F.when(F.col("format") == "ndpi", mcu(0.3)).when(F.col("format") == "argos", F.col("image_w") - mcu(0.76)).otherwise(F.col("image_w").cast("bigint"))
-    row = F.when(F.col("format") == "leica-scn", g.trunc_div((F.col("image_h") * 0.72).cast("bigint"), F.col("tile_h"))).otherwise(F.lit(0).cast("bigint"))
-    return lv.select("slide_id", "level_idx", width.alias("label_w"), row.alias("first_row"))
+    crop = f.label_crop(F.col("format"), F.col("image_w"), F.col("image_h"), F.lit(16), F.col("tile_h"))
+    return lv.select("slide_id", "level_idx", "tile_h", crop.alias("k")).select("slide_id", "level_idx", F.col("k.width").alias("label_w"), g.trunc_div(F.col("k.top"), F.col("tile_h")).alias("first_row"))
 
 
 @q(
     "pixel_format",
-    """SELECT DISTINCT slide_id, level_idx, CASE WHEN compression LIKE '%JP2000%' OR compression LIKE 'JPEG_2000%' THEN 'YCBCR' WHEN compression LIKE 'JPEG%' THEN 'YCBCR' WHEN compression = 'NONE' THEN 'RGB' END AS photometric,
-      CASE WHEN pyramid_index % 3 = 0 THEN 'uint8' WHEN pyramid_index % 3 = 1 THEN 'uint16' ELSE 'uint32' END AS dtype,
-      CASE WHEN compression IS NULL THEN 0 ELSE CAST(pow(2, CASE pyramid_index % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END) - 1 AS BIGINT) END AS fill,
-      coalesce(compression NOT IN ('NONE', 'JPEGXR_NDPI'), false) AS encoded FROM levels""",
+    """WITH i AS (SELECT DISTINCT slide_id, level_idx, compression, CASE pyramid_index % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END AS bits, slide_id % 6 = 0 AS palette_grey, slide_id % 5 = 0 AS rgb, slide_id % 2 = 1 AS sampled, slide_id % 7 = 0 AS mct,
+      CASE slide_id % 4 WHEN 0 THEN 'RGB' WHEN 1 THEN 'YCBCR' WHEN 2 THEN 'MINISBLACK' ELSE 'PALETTE' END AS tag FROM levels),
+    p AS (SELECT *, CASE WHEN palette_grey AND tag = 'PALETTE' THEN 'MINISBLACK' WHEN palette_grey THEN tag WHEN compression = 'JPEG' AND rgb THEN 'RGB' WHEN compression = 'JPEG' AND sampled THEN 'YCBCR'
+      WHEN compression IN ('JPEG2000', 'JPEG_2000_LOSSY', 'APERIO_JP2000_YCBC', 'APERIO_JP2000_RGB') AND (mct OR sampled OR compression = 'APERIO_JP2000_YCBC') THEN 'YCBCR' ELSE tag END AS photometric FROM i)
+    SELECT slide_id, level_idx, photometric, CASE bits WHEN 8 THEN 'uint8' WHEN 16 THEN 'uint16' ELSE 'uint32' END AS dtype,
+      CAST(CASE WHEN photometric IN ('RGB', 'YCBCR', 'MINISWHITE') THEN pow(2, bits) - 1 WHEN photometric = 'MINISBLACK' THEN 0 END AS BIGINT) AS fill, coalesce(compression NOT IN ('NONE', 'JPEGXR_NDPI'), false) AS encoded FROM p""",
 )
 def pixel_format(spark, d):
-    """Photometric interpretation, number type by bit depth, fill value, and whether tiles are served encoded."""
-    c, bits = F.col("compression"), F.when(F.col("pyramid_index") % 3 == 0, 8).when(F.col("pyramid_index") % 3 == 1, 16).otherwise(32)
-    photometric = F.when(c.contains("JP2000") | c.startswith("JPEG"), "YCBCR").when(c == "NONE", "RGB")
-    dtype = F.when(bits <= 8, "uint8").when(bits <= 16, "uint16").otherwise("uint32")
-    fill = F.when(c.isNull(), F.lit(0)).otherwise(F.pow(F.lit(2.0), bits) - 1).cast("bigint")
-    return table(spark, d, "levels").select("slide_id", "level_idx", photometric.alias("photometric"), dtype.alias("dtype"), fill.alias("fill"), F.coalesce(~c.isin("NONE", "JPEGXR_NDPI"), F.lit(False)).alias("encoded")).distinct()
+    """Colour model by codestream or tag, number type by bit depth, fill value by colour model, and whether tiles are served encoded."""
+    n, comp = F.col("slide_id"), F.col("compression")
+    bits = F.when(F.col("pyramid_index") % 3 == 0, 8).when(F.col("pyramid_index") % 3 == 1, 16).otherwise(32)
+    tag = F.when(n % 4 == 0, "RGB").when(n % 4 == 1, "YCBCR").when(n % 4 == 2, "MINISBLACK").otherwise("PALETTE")
+    model = f.photometric(F.when(n % 6 == 0, "3dhistech").otherwise("svs"), comp, tag, n % 5 == 0, (n % 2 + 1).cast("int"), F.lit(1), n % 7 == 0)
+    lv = table(spark, d, "levels").select("slide_id", "level_idx", comp.alias("compression"), bits.alias("bits"), model.alias("photometric")).distinct()
+    return lv.select("slide_id", "level_idx", "photometric", f.number_type(F.col("bits")).alias("dtype"), f.fill_value(F.col("bits"), F.col("photometric")).alias("fill"), f.encoded(comp).alias("encoded"))
 
 
 @q(
@@ -546,8 +542,8 @@ def pixel_format(spark, d):
 )
 def chunk_hint(spark, d):
     """Tiles worth asking for at once, and how many such batches a level has."""
-    chunk = F.greatest(g.trunc_div(F.lit(2048), F.col("tile_w")), F.lit(1))
-    return levels(spark, d, "slide_id", "level_idx", "frame_count", chunk.alias("chunk")).select("slide_id", "level_idx", "chunk", g.ceil_div(F.col("frame_count"), F.col("chunk")).cast("bigint").alias("chunks"))
+    lv = levels(spark, d, "slide_id", "level_idx", "frame_count", "tile_w").withColumn("chunk", f.chunk_hint(F.lit("ndpi"), F.lit(2048), F.col("tile_w")))
+    return lv.select("slide_id", "level_idx", "chunk", g.ceil_div(F.col("frame_count"), F.col("chunk")).cast("bigint").alias("chunks"))
 
 
 @q(

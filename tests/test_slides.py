@@ -15,9 +15,9 @@ def read(spark, fmt, description="", software=None, make=None, model=None, tags=
 
 
 def test_svs(spark):
-    m = read(spark, "svs", "Aperio Image Library v10.0.51\r\n46920x33014|AppMag = 20|ScanScope ID = SS1302|Date = 12/29/09|Time = 09:59:15|Time Zone = GMT-07:00|MPP = 0,4990|Title = \0|Barcode = B1")
-    assert (m.magnification, m.manufacturer, m.model, m.serial, m.barcode, m.label_text, m.mpp_x) == (20.0, "Leica Biosystems", "Aperio", "SS1302", "B1", None, 0.499)
-    assert m.acquired == datetime(2009, 12, 29, 9, 59, 15) and m.offset_minutes == -420 and m.software == ["Aperio Image Library v10.0.51"]
+    m = read(spark, "svs", "Aperio Image Library v3.1\r\n900x700|AppMag = 63|ScanScope ID = KX77|Date = 02/28/17|Time = 23:05:41|Time Zone = GMT+09:30|MPP = 0,1725|Title = \0|Barcode = Z-9")
+    assert (m.magnification, m.manufacturer, m.model, m.serial, m.barcode, m.label_text, m.mpp_x) == (63.0, "Leica Biosystems", "Aperio", "KX77", "Z-9", None, 0.1725)
+    assert m.acquired == datetime(2017, 2, 28, 23, 5, 41) and m.offset_minutes == 570 and m.software == ["Aperio Image Library v3.1"]
     m = read(spark, "svs", "Aperio Image, Grundium Ocus\nScan resolution 0,25")
     assert (m.manufacturer, m.model, m.software, m.mpp_x) == ("Grundium", "Ocus", None, 0.25)
 
@@ -36,25 +36,25 @@ def test_degenerate_descriptions(spark):
 
 
 def test_ndpi(spark):
-    m = read(spark, "ndpi", None, "NDP.scan", "Hamamatsu", "C10730", {65421: "20.0", 65442: "00000034", 306: "2009:12:31 09:11:46", 65468: " \0", 65422: "5", 65449: "Product=C1\r;Shading\r;ID=4"}, 22123.0, 22123.0, 3)
-    assert (m.magnification, m.manufacturer, m.software, m.serial, m.acquired, m.barcode) == (20.0, "Hamamatsu", ["NDP.scan"], "00000034", datetime(2009, 12, 31, 9, 11, 46), None)
-    assert m.properties == {"Product": "C1", "Shading/ID": "4", "x_offset_from_slide_center": "5"} and abs(m.mpp_x - 0.452) < 1e-3
+    m = read(spark, "ndpi", None, "NDP.scan", "Hamamatsu", "C10730", {65421: "20.0", 65442: "N0077", 306: "2014:03:02 21:30:05", 65468: " \0", 65422: "5", 65449: "Product=C1\r;Shading\r;ID=4"}, 25000.0, 25000.0, 3)
+    assert (m.magnification, m.manufacturer, m.software, m.serial, m.acquired, m.barcode) == (20.0, "Hamamatsu", ["NDP.scan"], "N0077", datetime(2014, 3, 2, 21, 30, 5), None)
+    assert m.properties == {"Product": "C1", "Shading/ID": "4", "x_offset_from_slide_center": "5"} and m.mpp_x == 0.4
 
 
 def test_philips(spark):
     a = lambda n, v: f'<Attribute Name="{n}" Group="0x1">{v}</Attribute>'
-    m = read(spark, "philips", "<DataObject>" + a("DICOM_MANUFACTURER", "PHILIPS") + a("DICOM_SOFTWARE_VERSIONS", "&quot;1.6&quot; &quot;4.0.3&quot;") + a("PIM_DP_UFS_BARCODE", "TEFCRUwwMDAx") + a("DICOM_PIXEL_SPACING", "&quot;0.00025&quot; &quot;0.00026&quot;") + a("DICOM_ACQUISITION_DATETIME", "20160718122300.000000"))
-    assert (m.manufacturer, m.software, m.barcode, round(m.mpp_x, 6), round(m.mpp_y, 6), m.acquired) == ("PHILIPS", ["1.6", "4.0.3"], "LABEL0001", 0.26, 0.25, datetime(2016, 7, 18, 12, 23))
+    m = read(spark, "philips", "<DataObject>" + a("DICOM_MANUFACTURER", "PHILIPS") + a("DICOM_SOFTWARE_VERSIONS", "&quot;1.6&quot; &quot;4.0.3&quot;") + a("PIM_DP_UFS_BARCODE", "VHJheSA0Mi9i") + a("DICOM_PIXEL_SPACING", "&quot;0.00025&quot; &quot;0.00026&quot;") + a("DICOM_ACQUISITION_DATETIME", "20190203040506.000000"))
+    assert (m.manufacturer, m.software, m.barcode, round(m.mpp_x, 6), round(m.mpp_y, 6), m.acquired) == ("PHILIPS", ["1.6", "4.0.3"], "Tray 42/b", 0.26, 0.25, datetime(2019, 2, 3, 4, 5, 6))
 
 
 def test_others(spark):
-    m = read(spark, "3dhistech", "h|AppMag = 20|Date = 29/12/2009|Time = 12:43:52|MPP = 0.2325")
-    assert (m.acquired, m.mpp_x) == (datetime(2009, 12, 29, 12, 43, 52), 0.2325)
-    m = read(spark, "mikroscan", "Mikroscan Image Structure|SL5 SERIAL # = 1053|Date = 09/26/19|Time = 09:57:06")
-    assert (m.manufacturer, m.model, m.serial, m.acquired) == ("Mikroscan", "SL5", "1053", datetime(2019, 9, 26, 9, 57, 6))
+    m = read(spark, "3dhistech", "h|AppMag = 20|Date = 17/11/2018|Time = 08:01:59|MPP = 0.1625")
+    assert (m.acquired, m.mpp_x) == (datetime(2018, 11, 17, 8, 1, 59), 0.1625)
+    m = read(spark, "mikroscan", "Mikroscan Image Structure|QX2 SERIAL # = 88|Date = 07/04/21|Time = 16:20:00")
+    assert (m.manufacturer, m.model, m.serial, m.acquired) == ("Mikroscan", "QX2", "88", datetime(2021, 7, 4, 16, 20))
     assert read(spark, "motic", "Motic V1.0.0|AppMag = 40|Barcode = x").software == ["V1.0.0"]
-    m = read(spark, "huron", "Scan Size = 1x1 mm\nResolution = 0.40 um\nScan Started = 2017:09:29 14:45:38\nBarcode = MTIzNDU2Ny0x\nDeviceID = D", "S", "Huron", "LE")
-    assert (m.mpp_x, m.barcode, m.serial, m.acquired) == (0.4, "1234567-1", "D", datetime(2017, 9, 29, 14, 45, 38))
+    m = read(spark, "huron", "Scan Size = 1x1 mm\nResolution = 0.40 um\nScan Started = 2022:01:31 06:07:08\nBarcode = VHJheSA0Mi9i\nDeviceID = D", "S", "Huron", "LE")
+    assert (m.mpp_x, m.barcode, m.serial, m.acquired) == (0.4, "Tray 42/b", "D", datetime(2022, 1, 31, 6, 7, 8))
     m = read(spark, "trestle", "Objective Power=10;OverlapsXY=64 64", xr=0.9, yr=0.8)
     assert (m.magnification, m.mpp_y, m.properties["OverlapsXY"]) == (10.0, 0.8, "64 64")
     m = read(spark, "ventana", tags={700: '<X><iScan Magnification="20" ScanRes="0.46" UnitNumber="20" BuildVersion="3.3" Barcode1D=" " Barcode2D="two"/></X>'})
@@ -66,10 +66,10 @@ def test_others(spark):
 
 
 def test_leica_main_image(spark):
-    image = lambda n, ox, vx, px, ob: f'<image name="{n}"><creationDate>2010-10-13T10:20:52.12+02:00</creationDate><device model="Leica SCN400;B" version="1.4; 2"/><pixels sizeX="{px}" sizeY="10"/><view sizeX="{vx}" sizeY="20" offsetX="{ox}" offsetY="0"/><scanSettings><objectiveSettings><objective>{ob}</objective></objectiveSettings></scanSettings></image>'
-    m = read(spark, "leica-scn", f'<scn xmlns="x"><collection sizeX="900" sizeY="20"><barcode>TEFCRUwwMDAx</barcode>{image("macro", 0, 900, 5000, 1)}{image("a", 5, 100, 200, 20)}{image("b", 5, 100, 400, 40)}{image("c", 6, 100, 400, 63)}</collection></scn>')
-    assert (m.magnification, m.model, m.software, m.barcode, m.offset_minutes) == (40.0, "Leica SCN400", ["1.4", "2"], "LABEL0001", 120)
-    assert m.mpp_x == 100 / 400 / 1000 and m.acquired == datetime(2010, 10, 13, 10, 20, 52, 120000)
+    image = lambda n, ox, vx, px, ob: f'<image name="{n}"><creationDate>2016-05-04T03:02:01.12+02:00</creationDate><device model="Leica SCN400;B" version="1.4; 2"/><pixels sizeX="{px}" sizeY="10"/><view sizeX="{vx}" sizeY="20" offsetX="{ox}" offsetY="0"/><scanSettings><objectiveSettings><objective>{ob}</objective></objectiveSettings></scanSettings></image>'
+    m = read(spark, "leica-scn", f'<scn xmlns="x"><collection sizeX="900" sizeY="20"><barcode>VHJheSA0Mi9i</barcode>{image("macro", 0, 900, 5000, 1)}{image("a", 5, 100, 200, 20)}{image("b", 5, 100, 400, 40)}{image("c", 6, 100, 400, 63)}</collection></scn>')
+    assert (m.magnification, m.model, m.software, m.barcode, m.offset_minutes) == (40.0, "Leica SCN400", ["1.4", "2"], "Tray 42/b", 120)
+    assert m.mpp_x == 100 / 400 / 1000 and m.acquired == datetime(2016, 5, 4, 3, 2, 1, 120000)
 
 
 def test_files_to_levels(spark, tmp_path):
