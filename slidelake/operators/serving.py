@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from slidelake.functions import codestream as c
 from slidelake.functions import jpeg_codec as codec
-from slidelake.functions.formats import fill_value
 from slidelake.operators.tiles import adjusted_tile_size
 from slidelake.sources import tiff
 
@@ -179,7 +178,7 @@ def _blank(job: dict, sample: bytes) -> bytes:
 def _repaired(job: dict, x: int, y: int, reader: _Reader) -> tuple[str, bytes | None]:
     """A tile made from the tiles of the finer level that cover it."""
     parent = job["parent"]
-    if parent is None or job["compression"] != "JPEG":
+    if parent is None or job["compression"] != "JPEG" or job["blobs"] is not None:  # frames at hand are this level's own
         return "missing", None
     n = round(parent["image_w"] / job["image_w"])
     if n < 2 or n & (n - 1):
@@ -188,8 +187,7 @@ def _repaired(job: dict, x: int, y: int, reader: _Reader) -> tuple[str, bytes |
     at = [r * parent["across"] + k if k < parent["across"] and r < parent["down"] else -1 for k, r in cells]
     held = lambda i: 0 <= i < len(parent["offsets"]) and i < len(parent["bytecounts"])
     picks = [{"index": i, "offset": parent["offsets"][i], "size": parent["bytecounts"][i]} if held(i) else {"index": 0, "offset": 0, "size": 0} for i in at]
-    source = {**job, "blobs": None if job["blobs"] is None else job["blobs"]}
-    blobs = reader.ranges(source, picks)
+    blobs = reader.ranges(job, picks)
     whole = _completed(job, parent["jpeg_tables"])
     tiles = [whole(b) if b and held(i) else None for b, i in zip(blobs, at)]
     return "repaired", codec.repaired([tiles[r * n : r * n + n] for r in range(n)], job["tile_w"], job["tile_h"])
@@ -282,8 +280,3 @@ def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def decoded(served: DataFrame) -> DataFrame:
     """Served JPEG tiles with ``width, height, samples, pixels`` (rows of samples); null where there is no codec for them."""
     return served.mapInArrow(_decode_batches, ", ".join(f"`{n}` {t}" for n, t in served.dtypes) + ", width int, height int, samples int, pixels binary")
-
-
-def fill(bits: Column, model: Column) -> Column:
-    """Sample of tiles that lie outside a grid or aren't stored."""
-    return fill_value(bits, model)
